@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .mixing import mix_sources
+from .piece_encoding import encode_digests
 from .sharding import shard_documents
+from .token_counts import count_tokens
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def model_path(name: str = PIECE_MODEL) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +29,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = count_tokens(read(spark, sf_dir, "documents"), model_path())
+    return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read(spark, sf_dir, "documents"), model_path())
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op7_piece_encoding": op7_piece_encoding,
 }
 ORACLES: dict[str, str] = {}
