@@ -9,6 +9,8 @@ from .common import read
 from .mixing import mix_sources
 from .piece_encoding import encode_digests
 from .sharding import shard_documents
+from .quality_rules import judge_quality
+from .toxicity import score_toxicity, train
 from .token_counts import count_tokens
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -25,6 +27,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels that may be learnt from: those of ids whose crc32, modulo 5, is not 0."""
+    return labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, training_labels(read(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,10 +52,16 @@ def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), model_path())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_piece_encoding": op7_piece_encoding,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
