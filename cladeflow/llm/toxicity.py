@@ -79,8 +79,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled documents, ``max_rows`` of them at most on average.
 
     First pass: in how many toxic and clean texts each bucket occurs; eight arrays of fixed size
-    reach the driver. It takes the log-count ratios and keeps the buckets whose ratio is
-    surest. Second pass: which of those each text has; logistic regression on the ratios.
+    reach the driver. It takes the log-count ratios and keeps the buckets that most surely
+    lean to toxic texts: what leans the other way says little of a long text, and would add up.
+    Second pass: which of those each text has; logistic regression on the ratios.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
@@ -108,10 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = (seen + 1) / (seen + 1).sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
     rate = [(seen[k] + 0.5) / (totals[k] + 1) for k in (0, 1)]
-    sure = np.abs(rate[1] - rate[0]) / np.sqrt(rate[0] * (1 - rate[0]) / (totals[0] + 1) + rate[1] * (1 - rate[1]) / (totals[1] + 1) + 1e-12)
+    sure = (rate[1] - rate[0]) / np.sqrt(rate[0] * (1 - rate[0]) / (totals[0] + 1) + rate[1] * (1 - rate[1]) / (totals[1] + 1) + 1e-12)
     sure[seen.sum(axis=0) < 3] = 0
     order = np.lexsort((np.arange(size), -sure))[:MAX_FEATURES]
-    kept = np.sort(order[sure[order] > 3])
+    kept = np.sort(order[sure[order] > 3.5])
     if not len(kept) or not min(totals):
         return Model(float(np.log((totals[1] + 1) / (totals[0] + 1))), np.zeros(size, np.float32))
 
