@@ -10,6 +10,7 @@ from .mixing import mix_sources
 from .piece_encoding import encode_digests
 from .sharding import shard_documents
 from .quality_rules import judge_quality
+from .topk_search import search
 from .toxicity import score_toxicity, train
 from .token_counts import count_tokens
 
@@ -39,6 +40,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+TOPK_SQL = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+               CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM pairs
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,9 +81,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op4_topk_search": op4_topk_search,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_piece_encoding": op7_piece_encoding,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_topk_search": TOPK_SQL}
