@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .lm_scoring import score_documents
 from .mixing import mix_sources
 from .piece_encoding import encode_digests
 from .sharding import shard_documents
@@ -74,6 +75,11 @@ def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), model_path())
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return score_documents(read(spark, sf_dir, "documents"), held_out)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read(spark, sf_dir, "documents"))
 
@@ -85,6 +91,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_piece_encoding": op7_piece_encoding,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES = {"op4_topk_search": TOPK_SQL}

@@ -13,7 +13,9 @@ ORDERS = (3, 4, 5)
 BUCKET_BITS = 20
 #: Bounds of the fit: labelled rows that it sees (on average, drawn by a hash of the id), and features it keeps.
 MAX_TRAIN_ROWS = 20_000
-MAX_FEATURES = 4_096
+MAX_FEATURES = 2_048
+#: Standard errors by which a feature must be more frequent in toxic texts.
+SURE = 3.5
 #: Characters that are hashed at a time.
 CHUNK = 1 << 18
 _MIX = np.uint32(2654435761)
@@ -56,18 +58,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, l2: float = 1e-4, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic regression on features that are present (1) times their log-count ratio."""
+def descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, l2: float = 1e-4, rounds: int = 200, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic regression (Adam) on features that are present (1) times their log-count ratio.
+
+    Works through the rows in parts of bounded size: only feature numbers are held for all.
+    """
     n = len(rows)
-    where = np.repeat(np.arange(n), [len(r) for r in rows])
-    what = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
-    value = ratios[what]
+    parts, at, size = [], 0, 0
+    for i, r in enumerate(rows):
+        size += len(r)
+        if size > 500_000 or i == n - 1:
+            lengths = np.array([len(x) for x in rows[at:i + 1]])
+            parts.append((at, i + 1, lengths, np.concatenate(rows[at:i + 1])))
+            at, size = i + 1, 0
     w, b = np.zeros(len(ratios)), float(np.log((labels.sum() + 1) / (n - labels.sum() + 1)))
     m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(where, weights=w[what] * value, minlength=n) + b
-        err = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
-        g = np.append(np.bincount(what, weights=err[where] * value, minlength=len(w)) / max(1, n) + l2 * w, err.mean() if n else 0)
+        g, scaled = np.zeros(len(w) + 1), w * ratios
+        for lo, hi, lengths, what in parts:
+            z = np.full(hi - lo, b)
+            some = lengths > 0
+            if some.any():
+                z[some] += np.add.reduceat(scaled[what], np.cumsum([0, *lengths])[:-1][some])
+            err = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[lo:hi]
+            g[:-1] += np.bincount(what, weights=np.repeat(err, lengths), minlength=len(w))
+            g[-1] += err.sum()
+        g /= max(1, n)
+        g[:-1] = g[:-1] * ratios + l2 * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -104,15 +121,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     sample = rows.repartition(8, "id")
     counts = sample.mapInArrow(count, "clean long, toxic long, seen binary").collect()
-    seen = sum((np.frombuffer(r["seen"], np.int32).reshape(2, size).astype(np.float64) for r in counts), np.zeros((2, size)))
-    totals = [sum(r["clean"] for r in counts), sum(r["toxic"] for r in counts)]
+    seen, totals = np.zeros((2, size)), [sum(r["clean"] for r in counts), sum(r["toxic"] for r in counts)]
+    while counts:
+        seen += np.frombuffer(counts.pop()["seen"], np.int32).reshape(2, size)
     share = (seen + 1) / (seen + 1).sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
     rate = [(seen[k] + 0.5) / (totals[k] + 1) for k in (0, 1)]
     sure = (rate[1] - rate[0]) / np.sqrt(rate[0] * (1 - rate[0]) / (totals[0] + 1) + rate[1] * (1 - rate[1]) / (totals[1] + 1) + 1e-12)
     sure[seen.sum(axis=0) < 3] = 0
     order = np.lexsort((np.arange(size), -sure))[:MAX_FEATURES]
-    kept = np.sort(order[sure[order] > 3.5])
+    kept = np.sort(order[sure[order] > SURE])
     if not len(kept) or not min(totals):
         return Model(float(np.log((totals[1] + 1) / (totals[0] + 1))), np.zeros(size, np.float32))
 
@@ -122,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text in batch.column("text"):
                 at = present(text.as_py())
                 place = np.minimum(np.searchsorted(kept, at), len(kept) - 1)
-                found.append(place[kept[place] == at].astype(np.int16).tobytes())
+                found.append(place[kept[place] == at].astype(np.int16).tobytes())  # MAX_FEATURES fits
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], ["y", "found"])
 
     got = sample.select("y", "text").mapInArrow(select, "y int, found binary").collect()
