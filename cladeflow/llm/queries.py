@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .lm_scoring import score_documents
 from .mixing import mix_sources
+from .ngram_join import link_documents
 from .piece_encoding import encode_digests
 from .sharding import shard_documents
 from .quality_rules import judge_quality
@@ -84,6 +85,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -93,5 +98,6 @@ QUERIES = {
     "op7_piece_encoding": op7_piece_encoding,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {"op4_topk_search": TOPK_SQL}
