@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .line_dedup import dedup_lines
 from .lm_scoring import score_documents
 from .mixing import mix_sources
 from .ngram_join import link_documents
@@ -42,6 +43,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return got.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.octet_length(text).alias("n_bytes"), F.crc32(text).alias("text_crc32"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -92,6 +99,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op4_topk_search": op4_topk_search,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
