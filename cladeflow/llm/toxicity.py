@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 n[int(y > 0)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([int(n[0])]), pa.array([int(n[1])]), pa.array([seen.tobytes()])], ["clean", "toxic", "seen"])
 
-    sample = rows.repartition(8, "id")
+    sample = rows.repartition(8)  # bounded rows; each task sends one array of counts
     counts = sample.mapInArrow(count, "clean long, toxic long, seen binary").collect()
     seen, totals = np.zeros((2, size)), [sum(r["clean"] for r in counts), sum(r["toxic"] for r in counts)]
     while counts:
