@@ -151,19 +151,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(bias, weights)
 
 
+def _sent(model: Model):
+    """A function that rebuilds the model where it is called; MAX_FEATURES numbers go with it."""
+    at = np.flatnonzero(model.weights)
+    values, bias = model.weights[at], model.bias
+
+    def rebuilt() -> Model:
+        full = np.zeros(1 << BUCKET_BITS, np.float32)
+        full[at] = values
+        return Model(bias, full)
+
+    return rebuilt
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, all columns kept, whose score is below 0.5; null texts count as empty."""
+    sent, place = _sent(model), docs.columns.index(text_col)
+
+    def run(batches):
+        own = sent()
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t.as_py() or "") < 0.5 for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The toxicity of every whole text: id_col, score (0 to 1), predicted (1 from 0.5 on).
 
     Null texts count as empty; an empty text scores by the bias alone. Null and repeated ids are
     kept as rows, no rows give no rows, other columns are ignored. The text alone is scored.
     """
-    at = np.flatnonzero(model.weights)
-    values, bias = model.weights[at], model.bias  # MAX_FEATURES numbers, sent with the function
+    sent = _sent(model)
 
     def run(batches):
-        full = np.zeros(1 << BUCKET_BITS, np.float32)
-        full[at] = values
-        own = Model(bias, full)
+        own = sent()
         for batch in batches:
             scores = [own.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
