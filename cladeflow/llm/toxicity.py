@@ -95,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on labelled documents, ``max_rows`` of them at most on average.
 
-    First pass: in how many toxic and clean texts each bucket occurs; eight arrays of fixed size
-    reach the driver. It takes the log-count ratios and keeps the buckets that most surely
+    First pass: in how many toxic and clean texts each bucket occurs; one array of fixed size
+    reaches the driver. It takes the log-count ratios and keeps the buckets that most surely
     lean to toxic texts: what leans the other way says little of a long text, and would add up.
     Second pass: which of those each text has; logistic regression on the ratios.
     """
@@ -119,18 +119,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 n[int(y > 0)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([int(n[0])]), pa.array([int(n[1])]), pa.array([seen.tobytes()])], ["clean", "toxic", "seen"])
 
-    sample = rows.repartition(8)  # bounded rows; each task sends one array of counts
-    counts = sample.mapInArrow(count, "clean long, toxic long, seen binary").collect()
-    seen, totals = np.zeros((2, size)), [sum(r["clean"] for r in counts), sum(r["toxic"] for r in counts)]
-    while counts:
-        seen += np.frombuffer(counts.pop()["seen"], np.int32).reshape(2, size)
-    share = (seen + 1) / (seen + 1).sum(axis=1, keepdims=True)
-    ratio = np.log(share[1] / share[0])
-    rate = [(seen[k] + 0.5) / (totals[k] + 1) for k in (0, 1)]
-    sure = (rate[1] - rate[0]) / np.sqrt(rate[0] * (1 - rate[0]) / (totals[0] + 1) + rate[1] * (1 - rate[1]) / (totals[1] + 1) + 1e-12)
-    sure[seen.sum(axis=0) < 3] = 0
-    order = np.lexsort((np.arange(size), -sure))[:MAX_FEATURES]
-    kept = np.sort(order[sure[order] > SURE])
+    def add(batches):
+        seen, n = np.zeros((2, size), np.int32), np.zeros(2, np.int64)
+        for batch in batches:
+            for i, row in enumerate(batch.column("seen")):
+                seen += np.frombuffer(row.as_buffer(), np.int32).reshape(2, size)
+                n += [batch.column("clean")[i].as_py(), batch.column("toxic")[i].as_py()]
+        yield pa.RecordBatch.from_arrays([pa.array([int(n[0])]), pa.array([int(n[1])]), pa.array([seen.tobytes()])], ["clean", "toxic", "seen"])
+
+    sample = rows.repartition(8)  # bounded rows; each task sends one array of counts, and one task adds them up
+    shape = "clean long, toxic long, seen binary"
+    whole = sample.mapInArrow(count, shape).repartition(1).mapInArrow(add, shape).toArrow()
+    totals = [whole.column(c)[0].as_py() for c in ("clean", "toxic")]
+    seen = np.frombuffer(whole.column("seen")[0].as_buffer(), np.int32).reshape(2, size)
+    mass = seen.sum(axis=1, dtype=np.float64) + size
+    often = np.flatnonzero(seen.sum(axis=0) >= 3)
+    clean, toxic = seen[:, often].astype(np.float64)
+    ratio = np.log((toxic + 1) / mass[1]) - np.log((clean + 1) / mass[0])
+    p, q = (toxic + 0.5) / (totals[1] + 1), (clean + 0.5) / (totals[0] + 1)
+    sure = (p - q) / np.sqrt(p * (1 - p) / (totals[1] + 1) + q * (1 - q) / (totals[0] + 1) + 1e-12)
+    order = np.lexsort((often, -sure))[:MAX_FEATURES]
+    chosen = np.sort(order[sure[order] > SURE])
+    kept, ratio = often[chosen], ratio[chosen]
     if not len(kept) or not min(totals):
         return Model(float(np.log((totals[1] + 1) / (totals[0] + 1))), np.zeros(size, np.float32))
 
@@ -143,11 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found.append(place[kept[place] == at].astype(np.int16).tobytes())  # MAX_FEATURES fits
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], ["y", "found"])
 
-    got = sample.select("y", "text").mapInArrow(select, "y int, found binary").collect()
-    got = sorted((int(r["y"] > 0), bytes(r["found"])) for r in got)  # the same order, hence the same weights, in every run
-    w, bias = descend([np.frombuffer(f, np.int16) for _, f in got], np.array([y for y, _ in got], float), ratio[kept])
+    table = sample.select("y", "text").mapInArrow(select, "y int, found binary").toArrow()
+    got = sorted((int(y > 0), found) for y, found in zip(*(table.column(c).to_pylist() for c in ("y", "found")), strict=True))  # the same order, hence the same weights, in every run
+    w, bias = descend([np.frombuffer(f, np.int16) for _, f in got], np.array([y for y, _ in got], float), ratio)
     weights = np.zeros(size, np.float32)
-    weights[kept] = w * ratio[kept]
+    weights[kept] = w * ratio
     return Model(bias, weights)
 
 
