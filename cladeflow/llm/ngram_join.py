@@ -20,43 +20,52 @@ PERCENT = 75
 HELD_GRAMS = 300_000
 #: Sharers of a prefix n-gram up to which all of its pairs are candidates at once.
 SMALL_RUN = 8
-BUCKET_ROWS = 200_000
+#: Prefix n-grams of a partition, on average.
+PART_ROWS = 200_000
+#: Parts of the hash space in a set's profile.
+BINS = 128
 FILTER_BITS = 25
 BATCH_BYTES = 1 << 20
 COUNTED = 1_500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
-    """Keys and sets of hashed n-grams of texts. Equal sequences of words have equal keys."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> tuple[int, np.ndarray] | None:
-        """The text's key and its sorted distinct n-grams; None without words.
-
-        With fewer words than an n-gram has, the whole sequence is the one n-gram. N-grams and
-        keys are 64-bit hashes.
-        """
-        words = text.encode().lower().split()
-        if not words:
-            return None
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known, hashed = self.known, xxhash.xxh64_intdigest
-        for w in {w for w in words if w not in known}:
-            known[w] = hashed(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        key = xxhash.xxh64_intdigest(b" ".join(words), 1) - 2**63
-        if len(h) < WORDS:
-            return key, np.array([xxhash.xxh64_intdigest(h.tobytes(), 2)], np.uint64)
-        n = len(h) - WORDS + 1
-        g = np.zeros(n, np.uint64)
-        for k in range(WORDS):
-            g = (g ^ h[k:k + n]) * _P
-            g ^= g >> np.uint64(29)
-        return key, np.unique(g)
+def shingles(texts: pa.Array):
+    """For each text its key and its sorted distinct n-grams; (None, none) without words.
+
+    A-Z is lowered and words are what stands between ASCII white space. With fewer words than an
+    n-gram has, the whole sequence is the one n-gram. Equal sequences of words have equal keys.
+    N-grams and keys are 64-bit hashes. All texts are worked on at once, as arrays.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, at = lists.flatten(), np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+    full = np.asarray(pc.greater(pc.binary_length(words), 0))
+    if not full.all():  # white space before the first word or behind the last
+        words = words.filter(pa.array(full))
+        at = np.concatenate([[0], np.cumsum(full)])[at]
+    coded = words.dictionary_encode()
+    table = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    h = table[np.asarray(coded.indices)]
+    n, lengths = len(h), np.diff(at)
+    g = np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        m = max(0, n - k)
+        g[:m] = (g[:m] ^ h[k:k + m]) * _P
+        g ^= g >> np.uint64(29)
+    nth = np.arange(n, dtype=np.int64) - np.repeat(at[:-1], lengths)
+    keyed = (h ^ (nth.astype(np.uint64) * _P)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    keyed ^= keyed >> np.uint64(31)
+    some = np.flatnonzero(lengths)
+    keys = np.add.reduceat(keyed * _P, at[some]) if len(some) else keyed
+    place = dict(zip(some.tolist(), keys.view(np.int64).tolist(), strict=True))
+    for i, (start, length) in enumerate(zip(at[:-1].tolist(), lengths.tolist(), strict=True)):
+        if not length:
+            yield None, g[:0]
+        elif length < WORDS:
+            yield place[i], np.array([place[i] ^ length], np.int64).view(np.uint64)
+        else:
+            own = np.sort(g[start:start + length - WORDS + 1])
+            yield place[i], own[np.append(True, own[1:] != own[:-1])]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -66,35 +75,41 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 def _texts(batch):
     text = batch.column("text")
     for a, b in slices(pc.binary_length(text).to_pylist(), BATCH_BYTES):
-        yield a, b, text.slice(a, b - a).to_pylist()
+        yield a, b, text.slice(a, b - a)
+
+
+def profile(grams: np.ndarray) -> bytes:
+    """How many n-grams fall into each of BINS parts of the hash space, up to 255."""
+    return np.minimum(np.bincount((grams >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def _survey(rows: DataFrame) -> DataFrame:
-    """A row (id, key, n) for each document, and rows (gram, df) for n-grams that a task met in two texts or more."""
+    """A row (id, key, n, bins) for each document, and rows (gram, df) for n-grams that a task met in two texts or more."""
     def run(batches):
-        shingle, met, held, size = Shingler(), set(), [], 0
+        met, held, size = set(), [], 0
+        names = ["id", "key", "n", "bins", "gram", "df"]
         kind = None
 
         def frequent():
             g, n = np.unique(np.concatenate(held), return_counts=True)
             g, n = g[n > 1].view(np.int64), n[n > 1]
             none = pa.nulls(len(g), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(g), kind), none, none, pa.array(g), pa.array(n)], ["id", "key", "n", "gram", "df"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(g), kind), none, none, pa.nulls(len(g), pa.binary()), pa.array(g), pa.array(n)], names)
 
         for batch in batches:
             kind = batch.column("id").type
             for a, b, texts in _texts(batch):
-                keys, sizes = [], []
-                for t in texts:
-                    found = shingle(t)
-                    keys.append(found and found[0])
-                    sizes.append(len(found[1]) if found else 0)
-                    if found and found[0] not in met:
-                        met.add(found[0])
-                        held.append(found[1])
-                        size += len(found[1])
+                keys, sizes, bins = [], [], []
+                for key, grams in shingles(texts):
+                    keys.append(key)
+                    sizes.append(len(grams))
+                    bins.append(profile(grams))
+                    if key is not None and key not in met:
+                        met.add(key)
+                        held.append(grams)
+                        size += len(grams)
                 none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), none, none], ["id", "key", "n", "gram", "df"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), none, none], names)
                 if size > COUNTED:
                     yield frequent()
                     held, size = [], 0
@@ -102,7 +117,7 @@ def _survey(rows: DataFrame) -> DataFrame:
             yield frequent()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key long, n long, gram long, df long")
+    return rows.mapInArrow(run, f"id {kind}, key long, n long, bins binary, gram long, df long")
 
 
 def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -120,78 +135,88 @@ def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], df[order]
 
 
-def rare_first(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The n-grams in the one order that all documents follow: rarest first, ties by hash."""
-    table, df = frequent
-    if not len(table):
-        return grams
-    at = np.minimum(np.searchsorted(table, grams), len(table) - 1)
-    return grams[np.lexsort((grams, np.where(table[at] == grams, df[at], 0)))]
+class Order:
+    """The one order of n-grams that all documents follow: rarest first, ties by hash."""
 
+    def __init__(self, frequent: tuple[np.ndarray, np.ndarray]):
+        self.table, self.df = frequent
+        self.marks = np.zeros(1 << 22, bool)
+        self.marks[(self.table >> np.uint64(42)).astype(np.int64)] = True
 
-def histogram(grams: np.ndarray) -> int:
-    """Counts of n-grams by the top two bits of their hash, 16 bits each."""
-    counts = np.minimum(np.bincount((grams >> np.uint64(62)).astype(np.int64), minlength=4), 65_535).astype("<u2")
-    return int(counts.view("<i8")[0])
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """Sorted n-grams in that order."""
+        maybe = np.flatnonzero(self.marks[(grams >> np.uint64(42)).astype(np.int64)])
+        if not len(maybe):
+            return grams
+        at = np.minimum(np.searchsorted(self.table, grams[maybe]), len(self.table) - 1)
+        known = self.table[at] == grams[maybe]
+        maybe, at = maybe[known], at[known]
+        last = maybe[np.argsort(self.df[at], kind="stable")]
+        return np.concatenate([np.delete(grams, maybe), grams[last]])
 
 
-def passes(n1, i1, h1, n2, i2, h2, percent: int = PERCENT):
-    """Whether pairs may link, by arrays of sizes, places of a shared n-gram, and histograms.
+def passes(n1, i1, n2, i2, percent: int = PERCENT):
+    """Whether pairs may link, by arrays of sizes and places of a shared n-gram.
 
     Length: the smaller set must be large enough. Positional: what lies before and behind the
-    shared n-gram must leave room for the overlap. Suffix: sets that differ in how many n-grams
-    fall into a part of the hash space differ by as many n-grams at least.
+    shared n-gram must leave room for the overlap.
     """
-    total = n1 + n2
-    need = -(-total * percent // (100 + percent))
+    need = -(-(n1 + n2) * percent // (100 + percent))
     ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    ok &= np.minimum(i1, i2) + 1 + np.minimum(n1 - i1, n2 - i2) - 1 >= need
-    apart = np.zeros(np.shape(total), np.int64)
-    for shift in (0, 16, 32, 48):
-        apart = apart + np.abs((h1 >> shift & 0xFFFF) - (h2 >> shift & 0xFFFF))
-    return ok & (apart <= total - 2 * need)
+    return ok & (np.minimum(i1, i2) + np.minimum(n1 - i1, n2 - i2) >= need)
+
 
+def overlap_bound(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Most n-grams that pairs of sets can share, by rows of their counts in parts of the hash space.
 
-def _postings(rows: DataFrame, frequent, n_buckets: int) -> DataFrame:
+    The suffix filter's argument, for all parts at once. A part with 255 n-grams or more bounds nothing.
+    """
+    least = np.minimum(one, other).astype(np.int64)
+    return np.where((least == 255).any(axis=1), np.iinfo(np.int64).max, least.sum(axis=1))
+
+
+def _postings(rows: DataFrame, frequent) -> DataFrame:
     given = rows.sparkSession.sparkContext.broadcast(frequent)  # HELD_GRAMS entries of 16 bytes at most
 
     def run(batches):
-        shingle, met, frequent = Shingler(), set(), given.value
+        met, order = set(), Order(given.value)
         for batch in batches:
             for _, _, texts in _texts(batch):
                 out = []
-                for t in texts:
-                    found = shingle(t)
-                    if not found or found[0] in met:
+                for key, grams in shingles(texts):
+                    if key is None or key in met:
                         continue
-                    key, grams = found
                     met.add(key)
                     n = len(grams)
                     k = prefix_length(n)
-                    out.append(np.stack([rare_first(grams, frequent)[:k].view(np.int64), np.full(k, key), (n << 32) + np.arange(k), np.full(k, histogram(grams))]))
+                    out.append(np.stack([order(grams)[:k].view(np.int64), np.full(k, key), (n << 32) + np.arange(k)]))
                 if out:
-                    whole = np.concatenate(out, axis=1)
-                    bucket = (whole[0].view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), *map(pa.array, whole)], ["bucket", "gram", "key", "place", "hist"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(out, axis=1))], ["gram", "key", "place"])
 
-    return rows.mapInArrow(run, "bucket int, gram long, key long, place long, hist long")
+    return rows.mapInArrow(run, "gram long, key long, place long")
 
 
-def _pairs(i, j, key, n, at, hist):
-    ok = passes(n[i], at[i], hist[i], n[j], at[j], hist[j]) & (key[i] != key[j])
+def _pairs(i, j, key, n, at):
+    ok = passes(n[i], at[i], n[j], at[j]) & (key[i] != key[j])
     i, j = i[ok], j[ok]
     return np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
 
 
-def _first_pairs(table: pa.Table) -> pa.Table:
-    """Pairs (a, b) of a bucket's n-grams; rows of n-grams with many sharers are returned as well."""
-    gram, key, place, hist = (table.column(c).to_numpy() for c in ("gram", "key", "place", "hist"))
-    order = np.lexsort((key, place >> 32, gram))
-    gram, key, place, hist = gram[order], key[order], place[order], hist[order]
-    own = np.append(True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])) if len(gram) else np.zeros(0, bool)
-    gram, key, place, hist = gram[own], key[own], place[own], hist[own]
+def _whole(batches, *columns: str) -> tuple:
+    """The columns of all of a partition's rows."""
+    parts = [[batch.column(c).to_numpy() for c in columns] for batch in batches]
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in columns)
+
+
+def _first_pairs(batches):
+    """Pairs (a, b) of a partition's n-grams; rows of n-grams with many sharers are returned as well."""
+    gram, key, place = _whole(batches, "gram", "key", "place")
+    if not len(gram):
+        return
+    order = np.lexsort((place, gram))
+    gram, key, place = gram[order], key[order], place[order]
     n, at = place >> 32, place & 0xFFFFFFFF
-    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, int)
+    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
     sizes = np.diff(np.append(starts, len(gram)))
     run = np.repeat(np.arange(len(starts)), sizes)
     left = starts[run] + sizes[run] - np.arange(len(gram)) - 1  # rows of the run that follow
@@ -199,44 +224,66 @@ def _first_pairs(table: pa.Table) -> pa.Table:
     found = []
     for step in range(1, SMALL_RUN):
         i = np.flatnonzero(small & (left >= step))
-        found.append(_pairs(i, i + step, key, n, at, hist))
+        found.append(_pairs(i, i + step, key, n, at))
     large = []
     for s, size in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN], strict=True):
-        large.append(np.arange(s, s + size))
-        at_row = s
-        while at_row < s + size:  # one star for each class of lengths
-            end = s + np.searchsorted(n[s:s + size] * PERCENT, n[at_row] * 100, "right")
-            i = np.arange(at_row + 1, end)
-            found.append(_pairs(np.full(len(i), at_row), i, key, n, at, hist))
-            at_row = end
+        own = s + np.unique(key[s:s + size], return_index=True)[1]
+        own = own[np.argsort(n[own], kind="stable")]
+        large.append(own)
+        first = 0
+        while first < len(own):  # one star for each class of lengths
+            end = np.searchsorted(n[own] * PERCENT, n[own[first]] * 100, "right")
+            found.append(_pairs(np.full(end - first - 1, own[first]), own[first + 1:end], key, n, at))
+            first = end
     a, b = (np.concatenate(c) for c in zip(*found, strict=True))
     both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
     rows = np.concatenate(large) if large else np.zeros(0, int)
     none = lambda k: pa.nulls(k, pa.int64())
     k, m = both.shape[1], len(rows)
-    whole = [pa.concat_arrays([pa.array(x), y]) for x, y in ((both[0], none(m)), (both[1], none(m)))]
-    whole += [pa.concat_arrays([none(k), pa.array(x[rows])]) for x in (gram, key, place, hist)]
-    return pa.Table.from_arrays(whole, ["a", "b", "gram", "key", "place", "hist"])
+    columns = [pa.concat_arrays([pa.array(x), none(m)]) for x in both] + [pa.concat_arrays([none(k), pa.array(x[rows])]) for x in (gram, key, place)]
+    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "gram", "key", "place"])
 
 
-def _cross_pairs(table: pa.Table) -> pa.Table:
+def _cross_pairs(batches):
     """Pairs of n-grams with many sharers, of rows that no component joins yet."""
-    gram, key, place, hist, part = (table.column(c).to_numpy() for c in ("gram", "key", "place", "hist", "part"))
+    gram, key, place, part = _whole(batches, "gram", "key", "place", "part")
     order = np.lexsort((place >> 32, gram))
-    gram, key, place, hist, part = gram[order], key[order], place[order], hist[order], part[order]
+    gram, key, place, part = gram[order], key[order], place[order], part[order]
     n, at = place >> 32, place & 0xFFFFFFFF
     ends = np.searchsorted(gram, gram, "right")
-    found = [np.zeros((2, 0), np.int64)]
+    found, held = [np.zeros((2, 0), np.int64)], 0
+
+    def batch():
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
     for i in range(len(gram)):
-        end = min(ends[i], i + 1 + np.searchsorted(n[i + 1:ends[i]] * PERCENT, n[i] * 100, "right"))
+        end = i + 1 + np.searchsorted(n[i + 1:ends[i]] * PERCENT, n[i] * 100, "right")
         j = np.arange(i + 1, end)
         j = j[part[j] != part[i]]
         if len(j):
-            found.append(np.stack(_pairs(np.full(len(j), i), j, key, n, at, hist)))
-        if sum(x.shape[1] for x in found[-1:]) and len(found) > 4096:
-            found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-    both = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.table({"a": both[0], "b": both[1]})
+            found.append(np.stack(_pairs(np.full(len(j), i), j, key, n, at)))
+            held += found[-1].shape[1]
+        if held > 500_000:
+            yield batch()
+            found, held = found[:1], 0
+    yield batch()
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose profiles leave room for the overlap that a link needs."""
+    first = nodes.select(F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("bins").alias("p1"))
+    second = nodes.select(F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("bins").alias("p2"))
+
+    def run(batches):
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("p1", "p2"))
+            total = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
+            ok = pa.array((100 + PERCENT) * np.minimum(overlap_bound(one, other), total) >= PERCENT * total)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    joined = pairs.join(first, F.col("a") == F.col("k1")).join(second, F.col("b") == F.col("k2"))
+    return joined.select("a", "b", "n1", "p1", "n2", "p2").mapInArrow(run, "a long, b long")
 
 
 def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -260,15 +307,14 @@ def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches):
         bits = np.unpackbits(np.frombuffer(given.value, np.uint8))
-        shingle, met = Shingler(), set()
+        met = set()
         for batch in batches:
             for _, _, texts in _texts(batch):
                 out = []
-                for t in texts:
-                    found = shingle(t)
-                    if found and found[0] not in met and bits[found[0] & (size - 1)]:
-                        met.add(found[0])
-                        out.append((found[0], found[1].tobytes()))
+                for key, grams in shingles(texts):
+                    if key is not None and key not in met and bits[key & (size - 1)]:
+                        met.add(key)
+                        out.append((key, grams.tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["key", "grams"])
 
@@ -315,24 +361,27 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     survey = settle(_survey(rows))
     light = survey.filter("gram is null").select("id", "key", "n")
+    nodes = survey.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
     frequent = _frequent(survey)
     n_grams = light.agg(F.sum("n")).first()[0] or 0
-    n_buckets = max(1, int(n_grams * (1 - PERCENT / 100)) // BUCKET_ROWS + 1)
-    first = settle(_postings(rows, frequent, n_buckets).groupBy("bucket").applyInArrow(_first_pairs, "a long, b long, gram long, key long, place long, hist long"))
-    pairs = settle(first.filter("a is not null").select("a", "b").distinct())
+    n_parts = max(1, int(n_grams * (1 - PERCENT / 100)) // PART_ROWS + 1)
+    first = settle(_postings(rows, frequent).repartition(n_parts, "gram").mapInArrow(_first_pairs, "a long, b long, gram long, key long, place long"))
+    pairs = settle(_bounded(first.filter("a is not null").select("a", "b").distinct(), nodes))
     links = _verified(pairs, rows)
-    large = first.filter("gram is not null").select("gram", "key", "place", "hist")
+    large = first.filter("gram is not null").select("gram", "key", "place")
     if large.limit(1).count():
         parts = connected_components(links)
-        named = large.join(parts, F.col("key") == F.col("node"), "left").select("gram", "key", "place", "hist", F.coalesce("component", "key").alias("part"))
-        mixed = named.join(named.groupBy(F.col("gram").alias("g")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi"), F.col("gram") == F.col("g"), "left_semi")
-        cross = mixed.withColumn("bucket", F.expr(f"pmod(xxhash64(gram), {n_buckets * 4})")).groupBy("bucket").applyInArrow(_cross_pairs, "a long, b long")
-        cross = settle(cross.distinct().join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
+        named = large.join(parts, F.col("key") == F.col("node"), "left").select("gram", "key", "place", F.coalesce("component", "key").alias("part"))
+        mixed = named.groupBy(F.col("gram").alias("g")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
+        rest = named.join(mixed, F.col("gram") == F.col("g"), "left_semi").repartition(n_parts, "gram")
+        cross = rest.mapInArrow(_cross_pairs, "a long, b long").distinct()
+        done = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        cross = settle(_bounded(cross.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), nodes))
         if cross.limit(1).count():
             links = links.unionByName(_verified(cross, rows))
     parts = connected_components(links)
-    nodes = light.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"))
-    parted = nodes.join(parts, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("part"))
+    least = light.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"))
+    parted = least.join(parts, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("part"))
     heads = parted.groupBy("part").agg(F.min("least").alias("head")).select(F.col("part").alias("p"), "head")
     named = parted.join(heads, F.col("part") == F.col("p")).select(F.col("key").alias("k"), "head")
     return light.join(named, F.col("key") == F.col("k"), "left").select(
