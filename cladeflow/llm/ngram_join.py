@@ -286,6 +286,17 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n1", "p1", "n2", "p2").mapInArrow(run, "a long, b long")
 
 
+def _packed(grams: np.ndarray) -> bytes:
+    """Sorted n-grams by the top 48 bits of their hashes: enough to tell the n-grams of two texts apart."""
+    return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    whole = np.zeros((len(data) // 6, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return whole.view("<u8").ravel()
+
+
 def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """key and sorted n-grams of the texts whose key is among ``keys``.
 
@@ -314,7 +325,7 @@ def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
                 for key, grams in shingles(texts):
                     if key is not None and key not in met and bits[key & (size - 1)]:
                         met.add(key)
-                        out.append((key, grams.tobytes()))
+                        out.append((key, _packed(grams)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["key", "grams"])
 
@@ -325,7 +336,7 @@ def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose sets' similarity reaches PERCENT; each is verified once."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = settle(_sets(rows, keys))
+    sets = _sets(rows, keys)  # both joins read the one exchange in which the sets are dealt by key
     first = sets.select(F.col("key").alias("k1"), F.col("grams").alias("g1"))
     second = sets.select(F.col("key").alias("k2"), F.col("grams").alias("g2"))
     both = pairs.join(first, F.col("a") == F.col("k1")).join(second, F.col("b") == F.col("k2"))
@@ -335,8 +346,8 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             g1, g2 = batch.column("g1"), batch.column("g2")
             ok = []
             for x, y in zip(g1, g2, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
+                shared = len(np.intersect1d(x, y))
                 ok.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
