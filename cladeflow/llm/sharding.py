@@ -63,7 +63,7 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
     most = np.maximum(whole / HEAVY, 1)
     heavy = light.groupBy("key").agg(*sums).filter(
         (F.col("size") > float(most[0])) | (F.col("tokens") > float(most[1])) | (F.col("rows") > float(most[2]))
-    ).filter(F.col("rows") > 1).orderBy("key").collect()
+    ).orderBy("key").collect()
     residual = np.full((n_shards, 3), 1 / n_shards)
     parts, owner = [], []
     for i, g in enumerate(heavy):
