@@ -32,7 +32,7 @@ def fill(sizes: list[int], weights: list[float], most: float = 3.0) -> list[floa
                 target[i] = rest * weights[i] / whole
             break
         for i in over:
-            target[i] = most * sizes[i]
+            target[i] = float(most * sizes[i])
             free.discard(i)
         rest = float(sum(sizes)) - sum(target[i] for i in range(len(sizes)) if i not in free)
     return target
