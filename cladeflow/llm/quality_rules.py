@@ -14,6 +14,8 @@ from .common import settle, words
 
 WINDOW = 5
 KEEP_FROM = 0.5
+#: How many times likelier, at least, a rule's bad vote is for a bad text than for a good one.
+LEAST_ODDS = 50
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,7 +73,7 @@ def rules() -> dict[str, Column]:
         "word_length": vote((c("word_chars") >= 3 * n) & (c("word_chars") <= 12 * n), (c("word_chars") < 2 * n) | (c("word_chars") > 20 * n)),
         "symbols": vote(c("n_symbols") * 50 <= n, c("n_symbols") * 10 >= n),
         "repeats": vote(c("n_repeat_words") * 20 <= n, c("n_repeat_words") * 5 > n),
-        "same_lines": vote((c("n_dup_lines") == 0) & (c("n_lines") >= 3), c("n_dup_lines") * 10 > c("n_lines") * 3),
+        "same_lines": vote((c("n_dup_lines") == 0) & (c("n_lines") >= 3), (c("n_dup_lines") * 2 > c("n_lines")) & (c("n_lines") >= 4)),
         "capitals": vote(c("n_capitals") * 6 <= c("word_chars"), c("n_capitals") * 2 >= c("word_chars")),
         "shouts": vote(c("n_shouts") * 50 <= n, c("n_shouts") * 10 >= n),
     }
@@ -89,7 +91,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
     total = sum(n for _, n in patterns)
     extra = max(1.0, total / 100)
     lean = {True: {1: 0.6, 0: 0.37, -1: 0.03}, False: {1: 0.3, 0: 0.4, -1: 0.3}}
-    good = [0.1 if -1 in votes else 0.9 for votes, _ in patterns]
+    good = [0.02 if -1 in votes else 0.98 for votes, _ in patterns]
     odds: list[dict[int, float]] = [dict.fromkeys((1, 0, -1), 0.0)] * n_rules
     base = 0.0
     for _ in range(rounds):
@@ -102,6 +104,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
                 seen[True][votes[j]] += g * n
                 seen[False][votes[j]] += (1 - g) * n
             chance = {k: {v: (seen[k][v] + extra * lean[k][v]) / (mass[k] + extra) for v in (1, 0, -1)} for k in (True, False)}
+            # a rule's bad vote is rarer for good texts than for bad ones, whatever else tells the classes apart
+            chance[True][-1] = min(chance[True][-1], chance[False][-1] / LEAST_ODDS)
             odds.append({v: math.log(chance[True][v] / chance[False][v]) for v in (1, 0, -1)})
         new = [1 / (1 + math.exp(-max(-700, min(700, base + sum(odds[j][v] for j, v in enumerate(votes)))))) for votes, _ in patterns]
         change = max((abs(a - b) for a, b in zip(new, good, strict=True)), default=0)
@@ -115,7 +119,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Measures of every text, base_failed, posterior (of good quality) and kept.
 
     Rules vote good, bad or abstain; their class-conditional accuracies are estimated without
-    labels over all rows, and the posterior replaces the demand that all rules pass.
+    labels over all rows that aren't base_failed, and the posterior replaces the demand that all rules pass.
     base_failed: under 10 words, or over a fifth of the words in repeated windows; such texts are
     never kept, others are if the posterior is at least KEEP_FROM.
 
@@ -126,13 +130,13 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = settle(measures(docs, id_col, text_col))
     cast = table.select("*", *[v.alias(f"v_{k}") for k, v in votes.items()])
     names = [f"v_{k}" for k in votes]
-    counted = cast.groupBy(*names).count().collect()
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    counted = cast.filter(~failed).groupBy(*names).count().collect()
     patterns = sorted((tuple(r[k] for k in names), r["count"]) for r in counted)
     base, odds = estimate(patterns)
     log_odds = F.lit(base)
     for k, o in zip(names, odds or [{1: 0.0, 0: 0.0, -1: 0.0}] * len(names), strict=True):
         log_odds = log_odds + F.when(F.col(k) == 1, o[1]).when(F.col(k) == -1, o[-1]).otherwise(o[0])
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = cast.withColumn("posterior", 1 / (1 + F.exp(-log_odds))).withColumn("base_failed", failed)
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
