@@ -127,7 +127,7 @@ def read_lineages(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = read_lines(spark, path).filter(~F.col("line").startswith("#") & (F.length("line") > 0)).withColumn("f", F.split(F.rtrim("line"), "\t"))
     two = F.when(F.size("f") == 2, F.get("f", 1)).otherwise(F.raise_error(F.concat(F.lit("Not an id and a lineage: "), F.col("line"))).cast("string"))
-    rows = rows.select("path", "block", "seq", F.get("f", 0).alias("id"), F.transform(F.split(two, ";"), F.trim).alias("levels"))
+    rows = rows.select("path", "block", "seq", F.get("f", 0).alias("id"), F.transform(F.split(two, ";"), lambda x: F.trim(x)).alias("levels"))
     prefix = lambda i: F.regexp_replace(F.array_join(F.slice("levels", F.lit(1), i + 1), ";"), "^;+", "")
     real = lambda x: ~F.lower(x).isin(NO_TAXON) & (F.substring(x, F.lit(2), F.length(x)) != "__")
     rows = rows.withColumn("taxa", F.transform("levels", lambda x, i: F.when(real(x), prefix(i))))
