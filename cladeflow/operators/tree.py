@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 
+#: Nodes up to which the driver climbs a hierarchy itself.
+SMALL = 200_000
+
 
 def merge_nodes(*sources: DataFrame) -> DataFrame:
     """Union of node tables. An id with two different parents, or two ranks, in different rows raises.
@@ -62,21 +66,40 @@ def _unused(nodes: DataFrame, block: int = 4096) -> str:
         at += block
 
 
-def lineages(nodes: DataFrame) -> DataFrame:
-    """id, parent, rank, lineage (from the root to the node itself) of nodes with a root.
+def lineages(nodes: DataFrame, small: int = SMALL) -> DataFrame:
+    """id, parent, rank, lineage (from the root to the node itself) of nodes with a root. A cycle raises.
 
-    Chains of ancestors double in each round, so deep trees take as many rounds as their depth
-    has binary digits. A cycle raises.
+    Up to ``small`` nodes are climbed by the driver. Beyond, chains of ancestors double in each
+    round of joins, so deep trees take as many rounds as their depth has binary digits.
     """
+    found = nodes.select("id", "parent", "rank").limit(small + 1).toArrow()
+    if found.num_rows <= small:
+        ids, parents = found.column("id").to_pylist(), found.column("parent").to_pylist()
+        up, known = dict(zip(ids, parents, strict=True)), {}
+        for i in ids:
+            path = []
+            while i not in known:
+                path.append(i)
+                if up[i] is None or up[i] == i:
+                    known[path.pop()] = [i]
+                elif len(path) > len(ids):
+                    raise ValueError("The hierarchy holds a cycle.")
+                else:
+                    i = up[i]
+            for child in reversed(path):
+                known[child] = [*known[up[child]], child]
+        lines = pa.array([known[i] for i in ids], pa.list_(pa.string()))
+        return nodes.sparkSession.createDataFrame(found.append_column("lineage", lines))
     tree = settle(nodes)
     chains = tree.select("id", F.array("id").alias("chain"), F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("next"))
     for _ in range(40):
         chains = settle(chains)
-        if not chains.filter("next is not null").take(1):
+        state = chains.agg(F.count("next").alias("open"), F.max(F.array_contains("chain", F.col("next"))).alias("cycle")).first()
+        if state["cycle"]:
+            raise ValueError("The hierarchy holds a cycle.")
+        if not state["open"]:
             break
         above = chains.select(F.col("id").alias("a"), F.col("chain").alias("more"), F.col("next").alias("beyond"))
-        if chains.filter("next is not null and array_contains(chain, next)").take(1):
-            raise ValueError("The hierarchy holds a cycle.")
         open_ = chains.filter("next is not null").join(above, F.col("next") == F.col("a"))
         grown = open_.select("id", F.concat("chain", "more").alias("chain"), F.col("beyond").alias("next"))
         chains = chains.filter("next is null").unionByName(grown)

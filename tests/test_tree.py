@@ -29,8 +29,9 @@ def test_fill_root(spark, given, want):
 def test_cycle(spark):
     with pytest.raises(ValueError):
         fill_root(nodes(spark, [("a", "b"), ("b", "a")]))
-    with pytest.raises(ValueError):
-        lineages(fill_root(nodes(spark, [("r", "r"), ("a", "b"), ("b", "c"), ("c", "a")])))
+    for small in (0, 100):
+        with pytest.raises(ValueError):
+            lineages(fill_root(nodes(spark, [("r", "r"), ("a", "b"), ("b", "c"), ("c", "a")])), small)
 
 
 def test_lca(spark):
@@ -42,8 +43,9 @@ def test_lca(spark):
 
 def test_deep_tree(spark):
     n = 300
-    lined = lineages(nodes(spark, [(f"n{i}", f"n{max(0, i - 1)}") for i in range(n)]))
-    assert lined.filter(F.col("id") == f"n{n - 1}").first().lineage == [f"n{i}" for i in range(n)]
+    for small in (10, 1000):
+        lined = lineages(nodes(spark, [(f"n{i}", f"n{max(0, i - 1)}") for i in range(n)]), small)
+        assert lined.filter(F.col("id") == f"n{n - 1}").first().lineage == [f"n{i}" for i in range(n)]
 
 
 def test_lineage_and_ranks(spark):
