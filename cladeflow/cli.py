@@ -79,10 +79,33 @@ def _listed(spark, text: str | None) -> list[str] | None:
     return read_ids(spark, text) if os.path.isfile(text) else text.split(",")
 
 
+def _stdin() -> str:
+    """Standard input as a file; where executors don't share the driver's disk, give a file instead."""
+    import shutil
+    import sys
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".txt", prefix="stdin-", delete=False) as f:
+        shutil.copyfileobj(sys.stdin, f)
+    return f.name
+
+
+def _strata_files(folder: str, samples: list[str] | None) -> dict[str, str]:
+    found = files_of_directory(folder, None, samples)
+    if samples and len(found) < len(samples):
+        raise ValueError("Provided sample ids and stratification files are inconsistent.")
+    return found
+
+
 def _classify(spark, a) -> None:
     if a.coords and a.outcov:
         raise ValueError("Covered ranges are not available where reads are matched to genes.")
-    samples, files, demux = resolve_inputs(spark, a.input, a.filext, _listed(spark, a.samples), a.demux)
+    if a.input == "-":
+        a.input = _stdin()
+        a.demux = a.demux is not False
+        samples, files, demux = _listed(spark, a.samples), {a.input: None}, a.demux
+    else:
+        samples, files, demux = resolve_inputs(spark, a.input, a.filext, _listed(spark, a.samples), a.demux)
     tree = build_hierarchy(spark, a.nodes, a.newick, a.lineage, a.columns, a.map, a.map_as_rank, a.names)
     excluded = _listed(spark, a.exclude)
     bad = spark.createDataFrame([(x,) for x in excluded], "subject string") if excluded else None
@@ -100,7 +123,7 @@ def _classify(spark, a) -> None:
         sizes = gene_lengths(genes)
     elif a.sizes:
         sizes = read_sizes(spark, a.sizes)
-    strata = read_strata(spark, {k: v for k, v in files_of_directory(a.stratify).items() if not samples or k in samples}) if a.stratify else None
+    strata = read_strata(spark, _strata_files(a.stratify, samples)) if a.stratify else None
     ranks = a.rank.split(",") if a.rank else (["free"] if tree else ["none"])
     hits = hits.persist()
     profile = classify(hits, tree, ranks, a.uniq, a.major, a.above, a.subok, sizes, strata, a.unassigned, a.frac, a.scale, a.digits)

@@ -178,6 +178,19 @@ def test_command_line_genes(spark, tmp_path):
     assert [line for p in (tmp_path / "cov" / "sample=S").glob("part-*") for line in p.read_text().split("\n") if line] == ["G1\t10\t30"]
 
 
+def test_command_line_stdin_and_strata(spark, tmp_path, monkeypatch):
+    import io
+    import sys
+
+    monkeypatch.setattr(sys, "stdin", io.StringIO("S1_a\tG1\nS1_b\tG1\nS2_a\tG2\n"))
+    folder = tmp_path / "strata"
+    folder.mkdir()
+    put(folder, "S1.txt", "a\tX\nb\tY\n")
+    put(folder, "S2.txt", "a\tX\n")
+    main(["classify", "-i", "-", "-o", str(tmp_path / "o.tsv"), "-t", str(folder)])
+    assert (tmp_path / "o.tsv").read_text() == "#FeatureID\tS1\tS2\nX|G1\t1\t0\nX|G2\t0\t1\nY|G1\t1\t0\n"
+
+
 def test_stream(spark, tmp_path):
     from cladeflow.plans.workflow import classify
     from cladeflow.streaming.incremental import compact, profile_stream, stream_profile
