@@ -46,8 +46,8 @@ def assign_free(hits: DataFrame, lined: DataFrame, subok: bool = False) -> DataF
     return rows.select(*QUERY, "subject", F.when(F.col("k") == 1, alone).otherwise(many).alias("taxon"), F.lit(True).alias("unique"))
 
 
-def assign_rank(hits: DataFrame, lookup: DataFrame, major: int | None = None, above: bool = False, uniq: bool = False, lined: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Taxa of one rank: ``lookup`` (subject, taxon). With ``by`` also its column(s), as rank, kept apart.
+def assign_rank(hits: DataFrame, lookup: DataFrame, major: int | None = None, above: bool = False, uniq: bool = False, lined: DataFrame | None = None, by: tuple[str, ...] = (), ranks: list[str] | None = None) -> DataFrame:
+    """Taxa of one rank: ``lookup`` (subject, taxon). With ``by`` = ("rank",) those of all ``ranks``, each kept apart.
 
     A query all of whose subjects have the same taxon (or none) has that. Else, in this order:
     ``major`` percent or more of the subjects agree (no taxon being one of the choices); ``above``
@@ -56,8 +56,7 @@ def assign_rank(hits: DataFrame, lookup: DataFrame, major: int | None = None, ab
     """
     keys = [*by, *QUERY]
     if by:
-        kinds = lookup.select(*by).distinct()
-        rows = hits.join(F.broadcast(kinds)).join(lookup, ["subject", *by], "left")  # as many kinds as ranks are asked for
+        rows = hits.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in ranks]))).join(lookup, ["subject", *by], "left")
     else:
         rows = hits.join(lookup.select("subject", "taxon"), "subject", "left")
     over = Window.partitionBy(*keys)

@@ -13,6 +13,7 @@ from ..operators.counting import count_taxa
 from ..operators.intervals import match_genes
 from ..operators.profiles import fraction, rounded, scale
 from ..operators.tree import fill_root, lineages, merge_names, merge_nodes, rank_lookup
+from ..session import small_side
 from ..sources.files import rank_of_name
 from ..sources.hierarchies import map_nodes, read_columns, read_lineages, read_names, read_newick, read_nodes
 from ..sources.mappings import read_first_map
@@ -69,8 +70,8 @@ def assign(hits: DataFrame, rank: str, hierarchy: Hierarchy | None = None, uniq:
     if rank == "none" or hierarchy is None:
         return assign_none(hits, uniq)
     if rank == "free":
-        return assign_free(hits, hierarchy.lined, subok)
-    return assign_rank(hits, rank_lookup(hierarchy.lined, [rank]), major, above, uniq, hierarchy.lined)
+        return assign_free(hits, small_side(hierarchy.lined), subok)
+    return assign_rank(hits, small_side(rank_lookup(hierarchy.lined, [rank])), major, above, uniq, small_side(hierarchy.lined) if above else None)
 
 
 def check_ranks(hierarchy: Hierarchy | None, ranks: list[str]) -> None:
@@ -90,11 +91,12 @@ def classify(hits: DataFrame, hierarchy: Hierarchy | None = None, ranks: list[st
     passes of their own. Values become fractions, are scaled and rounded, in this order.
     """
     ranks = ranks or (["free"] if hierarchy else ["none"])
+    sizes = None if sizes is None else small_side(sizes.select("subject", "size"))
     check_ranks(hierarchy, ranks)
     fixed, out = [r for r in ranks if r not in ("none", "free")], []
     if len(fixed) > 1:
-        lookup = rank_lookup(hierarchy.lined, fixed)
-        assigned = assign_rank(hits, lookup, major, above, uniq, hierarchy.lined, ("rank",))
+        lookup = small_side(rank_lookup(hierarchy.lined, fixed))
+        assigned = assign_rank(hits, lookup, major, above, uniq, small_side(hierarchy.lined) if above else None, ("rank",), fixed)
         out.append(count_taxa(assigned, sizes, strata, unassigned, ("rank",)))
     for rank in ranks if len(fixed) < 2 else [r for r in ranks if r not in fixed]:
         one = count_taxa(assign(hits, rank, hierarchy, uniq, major, above, subok), sizes, strata, unassigned)

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table is sent to all executors.
+BROADCAST_ROWS = 200_000
 
 
 def session(name: str = "cladeflow", **conf: str) -> SparkSession:
@@ -21,3 +25,8 @@ def settle(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cladeflow-"))
     return df.checkpoint()
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for a broadcast join if a count finds ``most`` rows or fewer; else it joins by an exchange."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
