@@ -20,6 +20,8 @@ PERCENT = 75
 HELD_GRAMS = 300_000
 #: Sharers of a prefix n-gram up to which all of its pairs are candidates at once.
 SMALL_RUN = 8
+#: Centres that texts are verified against where many share their n-grams, before pairs are.
+CENTRES = 8
 #: Prefix n-grams of a partition, on average.
 PART_ROWS = 200_000
 #: Parts of the hash space in a set's profile.
@@ -30,9 +32,11 @@ COUNTED = 1_500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(texts: pa.Array):
+def shingles(texts: pa.Array, wanted=None):
     """For each text its key and its sorted distinct n-grams; (None, none) without words.
 
+    ``wanted``: whether n-grams are of interest, by key; other texts are left out.
+
     A-Z is lowered and words are what stands between ASCII white space. With fewer words than an
     n-gram has, the whole sequence is the one n-gram. Equal sequences of words have equal keys.
     N-grams and keys are 64-bit hashes. All texts are worked on at once, as arrays.
@@ -61,6 +65,8 @@ def shingles(texts: pa.Array):
     for i, (start, length) in enumerate(zip(at[:-1].tolist(), lengths.tolist(), strict=True)):
         if not length:
             yield None, g[:0]
+        elif wanted is not None and not wanted(place[i]):
+            continue
         elif length < WORDS:
             yield place[i], np.array([place[i] ^ length], np.int64).view(np.uint64)
         else:
@@ -158,12 +164,13 @@ class Order:
 def passes(n1, i1, n2, i2, percent: int = PERCENT):
     """Whether pairs may link, by arrays of sizes and places of a shared n-gram.
 
-    Length: the smaller set must be large enough. Positional: what lies before and behind the
-    shared n-gram must leave room for the overlap.
+    Length: the smaller set must be large enough. Positional: were it the rarest n-gram that they
+    share, all of the overlap would lie in what is left of both sets from there on. Sets that
+    link pass at the rarest n-gram that they share.
     """
     need = -(-(n1 + n2) * percent // (100 + percent))
     ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    return ok & (np.minimum(i1, i2) + np.minimum(n1 - i1, n2 - i2) >= need)
+    return ok & (np.minimum(n1 - i1, n2 - i2) >= need)
 
 
 def overlap_bound(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -230,10 +237,12 @@ def _first_pairs(batches):
         own = s + np.unique(key[s:s + size], return_index=True)[1]
         own = own[np.argsort(n[own], kind="stable")]
         large.append(own)
+        turn = key[own].view(np.uint64) * np.uint64(int(_P) * (int(gram[s]) % CENTRES * 2 + 1) % 2**64)
         first = 0
-        while first < len(own):  # one star for each class of lengths
+        while first < len(own):  # one star for each class of lengths; n-grams that the same texts share have different centres
             end = np.searchsorted(n[own] * PERCENT, n[own[first]] * 100, "right")
-            found.append(_pairs(np.full(end - first - 1, own[first]), own[first + 1:end], key, n, at))
+            centre = own[first + np.argmin(turn[first:end])]
+            found.append(_pairs(np.full(end - first, centre), own[first:end], key, n, at))
             first = end
     a, b = (np.concatenate(c) for c in zip(*found, strict=True))
     both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
@@ -245,10 +254,17 @@ def _first_pairs(batches):
 
 
 def _cross_pairs(batches):
-    """Pairs of n-grams with many sharers, of rows that no component joins yet."""
-    gram, key, place, part = _whole(batches, "gram", "key", "place", "part")
+    """Pairs of n-grams with many sharers, of rows that no component joins yet, which the profiles don't rule out."""
+    gram, key, place, part, bins = [], [], [], [], []
+    for batch in batches:
+        for c, held in (("gram", gram), ("key", key), ("place", place), ("part", part)):
+            held.append(batch.column(c).to_numpy())
+        bins.append(np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, BINS))
+    if not gram:
+        return
+    gram, key, place, part, bins = (np.concatenate(c) for c in (gram, key, place, part, bins))
     order = np.lexsort((place >> 32, gram))
-    gram, key, place, part = gram[order], key[order], place[order], part[order]
+    gram, key, place, part, bins = gram[order], key[order], place[order], part[order], bins[order]
     n, at = place >> 32, place & 0xFFFFFFFF
     ends = np.searchsorted(gram, gram, "right")
     found, held = [np.zeros((2, 0), np.int64)], 0
@@ -260,7 +276,9 @@ def _cross_pairs(batches):
     for i in range(len(gram)):
         end = i + 1 + np.searchsorted(n[i + 1:ends[i]] * PERCENT, n[i] * 100, "right")
         j = np.arange(i + 1, end)
-        j = j[part[j] != part[i]]
+        j = j[(part[j] != part[i]) & passes(n[i], at[i], n[j], at[j])]
+        if len(j):
+            j = j[_enough(bins[i][None, :], bins[j], n[i] + n[j])]
         if len(j):
             found.append(np.stack(_pairs(np.full(len(j), i), j, key, n, at)))
             held += found[-1].shape[1]
@@ -270,6 +288,11 @@ def _cross_pairs(batches):
     yield batch()
 
 
+def _enough(one: np.ndarray, other: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether profiles of sets with ``total`` n-grams together leave room for the overlap that a link needs."""
+    return (100 + PERCENT) * np.minimum(overlap_bound(one, other), total) >= PERCENT * total
+
+
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose profiles leave room for the overlap that a link needs."""
     first = nodes.select(F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("bins").alias("p1"))
@@ -278,8 +301,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("p1", "p2"))
-            total = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
-            ok = pa.array((100 + PERCENT) * np.minimum(overlap_bound(one, other), total) >= PERCENT * total)
+            ok = pa.array(_enough(one, other, batch.column("n1").to_numpy() + batch.column("n2").to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     joined = pairs.join(first, F.col("a") == F.col("k1")).join(second, F.col("b") == F.col("k2"))
@@ -322,8 +344,8 @@ def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, texts in _texts(batch):
                 out = []
-                for key, grams in shingles(texts):
-                    if key is not None and key not in met and bits[key & (size - 1)]:
+                for key, grams in shingles(texts, lambda key: bits[key & (size - 1)] and key not in met):
+                    if key is not None and key not in met:
                         met.add(key)
                         out.append((key, _packed(grams)))
                 if out:
@@ -384,10 +406,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         parts = connected_components(links)
         named = large.join(parts, F.col("key") == F.col("node"), "left").select("gram", "key", "place", F.coalesce("component", "key").alias("part"))
         mixed = named.groupBy(F.col("gram").alias("g")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-        rest = named.join(mixed, F.col("gram") == F.col("g"), "left_semi").repartition(n_parts, "gram")
+        rest = named.join(mixed, F.col("gram") == F.col("g"), "left_semi").join(nodes.select(F.col("key").alias("k"), "bins"), F.col("key") == F.col("k")) \
+            .select("gram", "key", "place", "part", "bins").repartition(n_parts, "gram")
         cross = rest.mapInArrow(_cross_pairs, "a long, b long").distinct()
         done = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        cross = settle(_bounded(cross.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), nodes))
+        cross = settle(cross.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
         if cross.limit(1).count():
             links = links.unionByName(_verified(cross, rows))
     parts = connected_components(links)
