@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -34,13 +36,18 @@ def _piece_counts(path: str, texts: list[str]) -> list[int]:
     return out
 
 
-def _json_counts(path: str, texts: list[str]) -> list[int]:
+@lru_cache(maxsize=2)
+def _json_tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = _json_counts.__dict__.setdefault(path, Tokenizer.from_file(path))
+    tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return tokenizer
+
+
+def _json_counts(path: str, texts: list[str]) -> list[int]:
+    return [len(x.ids) for x in _json_tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
