@@ -21,7 +21,7 @@ HELD_GRAMS = 300_000
 #: Sharers of a prefix n-gram up to which all of its pairs are candidates at once.
 SMALL_RUN = 8
 #: Centres that texts are verified against where many share their n-grams, before pairs are.
-CENTRES = 8
+CENTRES = 4
 #: Prefix n-grams of a partition, on average.
 PART_ROWS = 200_000
 #: Parts of the hash space in a set's profile.
@@ -254,17 +254,29 @@ def _first_pairs(batches):
 
 
 def _cross_pairs(batches):
-    """Pairs of n-grams with many sharers, of rows that no component joins yet, which the profiles don't rule out."""
-    gram, key, place, part, bins = [], [], [], [], []
+    """Pairs of n-grams with many sharers, of rows that no component joins yet, which the profiles don't rule out.
+
+    A pair is made for the first n-gram, in their order, that both rows name among ``shared``,
+    where the positional filter leaves it the most room, and hence once.
+    """
+    gram, key, place, part, bins, shared = [], [], [], [], [], []
     for batch in batches:
         for c, held in (("gram", gram), ("key", key), ("place", place), ("part", part)):
             held.append(batch.column(c).to_numpy())
         bins.append(np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, BINS))
+        shared += batch.column("shared").to_pylist()
     if not gram:
         return
     gram, key, place, part, bins = (np.concatenate(c) for c in (gram, key, place, part, bins))
     order = np.lexsort((place >> 32, gram))
     gram, key, place, part, bins = gram[order], key[order], place[order], part[order], bins[order]
+    lists, sets = [shared[i] for i in order], {}
+
+    def first(i: int, j: int) -> bool:
+        if j not in sets:
+            sets[j] = frozenset(lists[j])
+        return next(g for g in lists[i] if g in sets[j]) == gram[i]
+
     n, at = place >> 32, place & 0xFFFFFFFF
     ends = np.searchsorted(gram, gram, "right")
     found, held = [np.zeros((2, 0), np.int64)], 0
@@ -279,6 +291,7 @@ def _cross_pairs(batches):
         j = j[(part[j] != part[i]) & passes(n[i], at[i], n[j], at[j])]
         if len(j):
             j = j[_enough(bins[i][None, :], bins[j], n[i] + n[j])]
+            j = np.array([x for x in j.tolist() if first(i, x)], np.int64)
         if len(j):
             found.append(np.stack(_pairs(np.full(len(j), i), j, key, n, at)))
             held += found[-1].shape[1]
@@ -406,8 +419,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         parts = connected_components(links)
         named = large.join(parts, F.col("key") == F.col("node"), "left").select("gram", "key", "place", F.coalesce("component", "key").alias("part"))
         mixed = named.groupBy(F.col("gram").alias("g")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-        rest = named.join(mixed, F.col("gram") == F.col("g"), "left_semi").join(nodes.select(F.col("key").alias("k"), "bins"), F.col("key") == F.col("k")) \
-            .select("gram", "key", "place", "part", "bins").repartition(n_parts, "gram")
+        lists = large.groupBy(F.col("key").alias("s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("shared"))  # as long as a prefix at most
+        rest = named.join(mixed, F.col("gram") == F.col("g"), "left_semi").join(nodes.select(F.col("key").alias("k"), "bins"), F.col("key") == F.col("k")).join(lists, F.col("key") == F.col("s"))
+        rest = rest.select("gram", "key", "place", "part", "bins", "shared").repartition(n_parts, "gram")
         cross = rest.mapInArrow(_cross_pairs, "a long, b long").distinct()
         done = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
         cross = settle(cross.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
