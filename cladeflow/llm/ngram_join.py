@@ -322,13 +322,13 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _packed(grams: np.ndarray) -> bytes:
-    """Sorted n-grams by the top 48 bits of their hashes: enough to tell the n-grams of two texts apart."""
-    return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Sorted n-grams by the top 40 bits of their hashes: enough to tell the n-grams of two texts apart."""
+    return (grams >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _unpacked(data) -> np.ndarray:
-    whole = np.zeros((len(data) // 6, 8), np.uint8)
-    whole[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(data) // 5, 8), np.uint8)
+    whole[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return whole.view("<u8").ravel()
 
 
@@ -421,7 +421,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mixed = named.groupBy(F.col("gram").alias("g")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
         lists = large.groupBy(F.col("key").alias("s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("shared"))  # as long as a prefix at most
         rest = named.join(mixed, F.col("gram") == F.col("g"), "left_semi").join(nodes.select(F.col("key").alias("k"), "bins"), F.col("key") == F.col("k")).join(lists, F.col("key") == F.col("s"))
-        rest = rest.select("gram", "key", "place", "part", "bins", "shared").repartition(n_parts, "gram")
+        upto = F.slice("shared", F.lit(1), F.array_position("shared", F.col("gram")).cast("int"))  # what stands behind can't come first
+        rest = rest.select("gram", "key", "place", "part", "bins", upto.alias("shared")).repartition(n_parts, "gram")
         cross = rest.mapInArrow(_cross_pairs, "a long, b long").distinct()
         done = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
         cross = settle(cross.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
