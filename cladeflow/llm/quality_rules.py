@@ -1,6 +1,6 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-Native: DataFrame functions only. The driver sees counts of vote patterns, 3 ** 7 at most.
+Native: DataFrame functions only. The driver sees counts of vote patterns, 3 ** 9 at most.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from .common import settle, words
 
 WINDOW = 5
 KEEP_FROM = 0.5
-#: How many times likelier, at least, a rule's bad vote is for a bad text than for a good one.
-LEAST_ODDS = 50
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts over every whole text: id, n_words, word_chars, n_symbols, n_lines (with a word),
-    n_dup_lines, n_repeat_words, n_capitals, n_shouts (exclamation marks).
+    n_dup_lines, n_repeat_words, n_capitals, n_shouts (exclamation marks), n_letters, n_plain (words
+    that begin with a letter and have none of the symbols).
 
     Windows are compared by a 64-bit hash of their words' hashes. A window's hash gives way, in
     its low bits, to its place, so that one sort of plain longs brings equal windows together;
@@ -34,11 +33,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).alias("n_symbols"),
         F.length(F.regexp_replace("text", "[^\\p{Lu}]+", "")).alias("n_capitals"),
         F.length(F.regexp_replace("text", "[^!]+", "")).alias("n_shouts"),
+        F.char_length(F.regexp_replace("text", r"[^\p{L}\p{M}]+", "")).alias("n_letters"),
+        F.size(F.filter("w", lambda x: x.rlike(r"^\p{L}[^#*$%&|<>]*$"))).alias("n_plain"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
     step = step.select(
-        "id", "n", "word_chars", "n_symbols", "n_capitals", "n_shouts",
+        "id", "n", "word_chars", "n_symbols", "n_capitals", "n_shouts", "n_letters", "n_plain",
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.expr(f"if(n < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, n - {WINDOW}), i -> xxhash64({', '.join(f'h[i + {k}]' for k in range(WINDOW))})))").alias("win"),
@@ -57,7 +58,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return step.select(
         "id", *[F.col(c).cast("long").alias(a) for c, a in (
             ("n", "n_words"), ("word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("n_lines", "n_lines"),
-            ("n_dup_lines", "n_dup_lines"), ("n_capitals", "n_capitals"), ("n_shouts", "n_shouts"))],
+            ("n_dup_lines", "n_dup_lines"), ("n_capitals", "n_capitals"), ("n_shouts", "n_shouts"),
+            ("n_letters", "n_letters"), ("n_plain", "n_plain"))],
         covered.alias("n_repeat_words"),
     )
 
@@ -76,6 +78,8 @@ def rules() -> dict[str, Column]:
         "same_lines": vote((c("n_dup_lines") == 0) & (c("n_lines") >= 3), (c("n_dup_lines") * 2 > c("n_lines")) & (c("n_lines") >= 4)),
         "capitals": vote(c("n_capitals") * 6 <= c("word_chars"), c("n_capitals") * 2 >= c("word_chars")),
         "shouts": vote(c("n_shouts") * 50 <= n, c("n_shouts") * 10 >= n),
+        "letters": vote(c("n_letters") * 50 >= c("word_chars") * 47, c("n_letters") * 10 < c("word_chars") * 9),
+        "plain_words": vote(c("n_plain") * 20 >= n * 19, c("n_plain") * 4 < n * 3),
     }
 
 
@@ -83,15 +87,15 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
     """Class balance, and each rule's log-odds of good for each of its votes.
 
     Expectation-maximisation for two classes and independent rules, each with its own
-    probabilities of voting good, bad or not at all in either class. It starts from: bad, if any
-    rule says so. Pseudo-counts, a hundredth of the rows and at least one, say that votes lean
-    to the class they name, which also holds the classes in place.
+    probabilities of voting good, bad or not at all in either class. It starts from: bad, the
+    surer the more rules say so, from two on. Pseudo-counts, a hundredth of the rows and at least one, say that votes lean
+    to the class they name, which also holds the classes in place. Nothing else bounds what a vote weighs.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
     total = sum(n for _, n in patterns)
     extra = max(1.0, total / 100)
     lean = {True: {1: 0.6, 0: 0.37, -1: 0.03}, False: {1: 0.3, 0: 0.4, -1: 0.3}}
-    good = [0.02 if -1 in votes else 0.98 for votes, _ in patterns]
+    good = [1 / (1 + math.exp(3 * (2 * votes.count(-1) - 3))) for votes, _ in patterns]
     odds: list[dict[int, float]] = [dict.fromkeys((1, 0, -1), 0.0)] * n_rules
     base = 0.0
     for _ in range(rounds):
@@ -104,8 +108,6 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
                 seen[True][votes[j]] += g * n
                 seen[False][votes[j]] += (1 - g) * n
             chance = {k: {v: (seen[k][v] + extra * lean[k][v]) / (mass[k] + extra) for v in (1, 0, -1)} for k in (True, False)}
-            # a rule's bad vote is rarer for good texts than for bad ones, whatever else tells the classes apart
-            chance[True][-1] = min(chance[True][-1], chance[False][-1] / LEAST_ODDS)
             odds.append({v: math.log(chance[True][v] / chance[False][v]) for v in (1, 0, -1)})
         new = [1 / (1 + math.exp(-max(-700, min(700, base + sum(odds[j][v] for j, v in enumerate(votes)))))) for votes, _ in patterns]
         change = max((abs(a - b) for a, b in zip(new, good, strict=True)), default=0)
@@ -119,7 +121,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Measures of every text, base_failed, posterior (of good quality) and kept.
 
     Rules vote good, bad or abstain; their class-conditional accuracies are estimated without
-    labels over all rows that aren't base_failed, and the posterior replaces the demand that all rules pass.
+    labels over all rows, and the posterior replaces the demand that all rules pass.
     base_failed: under 10 words, or over a fifth of the words in repeated windows; such texts are
     never kept, others are if the posterior is at least KEEP_FROM.
 
@@ -131,7 +133,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cast = table.select("*", *[v.alias(f"v_{k}") for k, v in votes.items()])
     names = [f"v_{k}" for k in votes]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    counted = cast.filter(~failed).groupBy(*names).count().collect()
+    counted = cast.groupBy(*names).count().collect()
     patterns = sorted((tuple(r[k] for k in names), r["count"]) for r in counted)
     base, odds = estimate(patterns)
     log_odds = F.lit(base)

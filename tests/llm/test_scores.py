@@ -159,3 +159,21 @@ def test_estimate_finds_accuracies():
     base, odds = estimate(patterns)
     right = sum(truth[v] if base + sum(o[x] for o, x in zip(odds, v, strict=True)) > 0 else n - truth[v] for v, n in patterns)
     assert right > 0.93 * 20_000
+
+
+@pytest.mark.parametrize("wrong", [4, 5, 6])
+def test_estimate_outvotes_a_rule_that_is_wrong_on_a_hot_source(wrong):
+    clean, junk, loud = (1,) * 9, (1, 1, -1, 1, 1, 1, 1, -1, -1), (1, 1, 1, 1, 0, -1, -1, -1, 1)
+    hot = tuple(-1 if j == wrong else x for j, x in enumerate(clean))
+    base, odds = estimate([(clean, 5600), (hot, 3000), (junk, 700), (loud, 400)])
+    kept = {v: base + sum(o[x] for o, x in zip(odds, v, strict=True)) >= 0 for v in (clean, hot, junk, loud)}
+    assert kept == {clean: True, hot: True, junk: False, loud: False}
+
+
+def test_quality_keeps_a_hot_source_with_one_bad_vote(spark):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(" ".join(words(20, rng)) for _ in range(4))) for i in range(200)]
+    rows += [(i, "\n".join(" ".join(words(20, rng)) + "!!!" * 3 for _ in range(4))) for i in range(200, 300)]
+    rows += [(i, "\n".join(" ".join(x + "***" for x in words(20, rng)) for _ in range(4))) for i in range(300, 330)]
+    got = judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.kept} == set(range(300))
