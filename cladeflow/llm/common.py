@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: White space as the word pattern [^\x20\x09-\x0D]+ has it.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Bytes of a batch that is sent to Python.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +53,27 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_band") == F.col("_b")]
     joined = inner.join(renamed, same).withColumn(out, F.col("_inner") + F.col("_before"))
     return joined.drop("_band", "_b", "_inner", "_before", *[f"_k{i}" for i in range(len(keys))])
+
+
+def slices(sizes, most: int):
+    """Runs (from, to) of rows with about ``most`` bytes together; a longer row stands alone."""
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and total + n > most:
+            yield at, i
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """The same rows; the session sends them to Python in batches of BATCH_BYTES at most.
+
+    Rows may be wide (whole texts, sets of n-grams), and by default a batch may have 64 MB, of
+    which the JVM and each Python worker of an executor hold several at a time.
+    """
+    conf = df.sparkSession.conf
+    if int(str(conf.get(BATCH_SETTING)).rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df

@@ -13,8 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .pieces import slices
+from .common import lean, settle, slices
 
 #: Words that the neural model tells apart (the end of a text is one more, all other words together another).
 CLASSES = 511
@@ -209,7 +208,7 @@ def score_documents(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_c
     training rows c, N and V are 0.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = lean(docs).select(F.col(id_col).alias("id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = rows.filter("not held_out")
     counts = settle(count_words(training))
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == "", F.col("c"))).alias("ends")).first()

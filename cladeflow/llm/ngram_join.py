@@ -9,9 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lean, settle, slices
 from .components import connected_components
-from .pieces import slices
 
 WORDS = 5
 #: Jaccard similarity from which two documents link, in hundredths.
@@ -29,6 +28,10 @@ BINS = 128
 FILTER_BITS = 25
 BATCH_BYTES = 1 << 20
 COUNTED = 1_500_000
+#: Texts that a task remembers, so that copies are met once; then it starts anew.
+REMEMBERED = 500_000
+#: N-grams that a row of a shared one names, so that few pairs are made twice.
+NAMED = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,6 +77,12 @@ def shingles(texts: pa.Array, wanted=None):
             yield place[i], own[np.append(True, own[1:] != own[:-1])]
 
 
+def _remember(met: set, key: int) -> None:
+    if len(met) >= REMEMBERED:
+        met.clear()
+    met.add(key)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
@@ -85,7 +94,7 @@ def _texts(batch):
 
 
 def profile(grams: np.ndarray) -> bytes:
-    """How many n-grams fall into each of BINS parts of the hash space, up to 255."""
+    """How many n-grams fall into each of BINS parts of the hash space, up to 255: what the suffix filter needs of a set."""
     return np.minimum(np.bincount((grams >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
@@ -111,7 +120,7 @@ def _survey(rows: DataFrame) -> DataFrame:
                     sizes.append(len(grams))
                     bins.append(profile(grams))
                     if key is not None and key not in met:
-                        met.add(key)
+                        _remember(met, key)
                         held.append(grams)
                         size += len(grams)
                 none = pa.nulls(b - a, pa.int64())
@@ -174,9 +183,13 @@ def passes(n1, i1, n2, i2, percent: int = PERCENT):
 
 
 def overlap_bound(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Most n-grams that pairs of sets can share, by rows of their counts in parts of the hash space.
+    """Most n-grams that pairs of sets can share, by rows of their counts in parts of the hash space: the suffix filter.
 
-    The suffix filter's argument, for all parts at once. A part with 255 n-grams or more bounds nothing.
+    That filter cuts two sorted suffixes at a probe and at its place in the other, again and again
+    to a given depth; in every part the sizes' difference is a lower bound on how many elements
+    differ. Here the probes are the same hashes for all sets, BINS - 1 of them, which makes the
+    parts of all sets comparable without either set at hand, to depth log2(BINS) instead of the
+    usual two or three, and over whole sets. A part with 255 n-grams or more bounds nothing.
     """
     least = np.minimum(one, other).astype(np.int64)
     return np.where((least == 255).any(axis=1), np.iinfo(np.int64).max, least.sum(axis=1))
@@ -193,7 +206,7 @@ def _postings(rows: DataFrame, frequent) -> DataFrame:
                 for key, grams in shingles(texts):
                     if key is None or key in met:
                         continue
-                    met.add(key)
+                    _remember(met, key)
                     n = len(grams)
                     k = prefix_length(n)
                     out.append(np.stack([order(grams)[:k].view(np.int64), np.full(k, key), (n << 32) + np.arange(k)]))
@@ -257,7 +270,8 @@ def _cross_pairs(batches):
     """Pairs of n-grams with many sharers, of rows that no component joins yet, which the profiles don't rule out.
 
     A pair is made for the first n-gram, in their order, that both rows name among ``shared``,
-    where the positional filter leaves it the most room, and hence once.
+    where the positional filter leaves it the most room, and hence once; pairs that have no such
+    n-gram are made for each that they share, and met again when pairs are made distinct.
     """
     gram, key, place, part, bins, shared = [], [], [], [], [], []
     for batch in batches:
@@ -275,7 +289,7 @@ def _cross_pairs(batches):
     def first(i: int, j: int) -> bool:
         if j not in sets:
             sets[j] = frozenset(lists[j])
-        return next(g for g in lists[i] if g in sets[j]) == gram[i]
+        return next((g for g in lists[i] if g in sets[j]), gram[i]) == gram[i]
 
     n, at = place >> 32, place & 0xFFFFFFFF
     ends = np.searchsorted(gram, gram, "right")
@@ -359,7 +373,7 @@ def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
                 out = []
                 for key, grams in shingles(texts, lambda key: bits[key & (size - 1)] and key not in met):
                     if key is not None and key not in met:
-                        met.add(key)
+                        _remember(met, key)
                         out.append((key, _packed(grams)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["key", "grams"])
@@ -404,7 +418,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated ids are kept as rows; a group whose ids are all null has a null component. No rows
     give no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = lean(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     survey = settle(_survey(rows))
     light = survey.filter("gram is null").select("id", "key", "n")
     nodes = survey.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
@@ -419,9 +433,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         parts = connected_components(links)
         named = large.join(parts, F.col("key") == F.col("node"), "left").select("gram", "key", "place", F.coalesce("component", "key").alias("part"))
         mixed = named.groupBy(F.col("gram").alias("g")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-        lists = large.groupBy(F.col("key").alias("s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("shared"))  # as long as a prefix at most
+        lists = large.groupBy(F.col("key").alias("s")).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("place", "gram"))), 1, NAMED), lambda x: x["gram"]).alias("shared"))
         rest = named.join(mixed, F.col("gram") == F.col("g"), "left_semi").join(nodes.select(F.col("key").alias("k"), "bins"), F.col("key") == F.col("k")).join(lists, F.col("key") == F.col("s"))
-        upto = F.slice("shared", F.lit(1), F.array_position("shared", F.col("gram")).cast("int"))  # what stands behind can't come first
+        at = F.array_position("shared", F.col("gram")).cast("int")
+        upto = F.slice("shared", F.lit(1), F.when(at > 0, at).otherwise(NAMED))  # what stands behind can't come first
         rest = rest.select("gram", "key", "place", "part", "bins", upto.alias("shared")).repartition(n_parts, "gram")
         cross = rest.mapInArrow(_cross_pairs, "a long, b long").distinct()
         done = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))

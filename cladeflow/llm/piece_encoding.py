@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import MARK, PieceModel, load, slices
+from .common import lean, slices
+from .pieces import MARK, PieceModel, load
 
 BATCH_BYTES = 1 << 20
 
@@ -147,7 +148,7 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, row, f
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), fields.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), *columns], ["id", *fields])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = lean(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 

@@ -65,15 +65,3 @@ class PieceModel:
 @lru_cache(maxsize=2)
 def load(path: str) -> PieceModel:
     return PieceModel(path)
-
-
-def slices(sizes, most: int):
-    """Runs (from, to) of rows with about ``most`` bytes together; a longer row stands alone."""
-    at = total = 0
-    for i, n in enumerate(sizes):
-        if i > at and total + n > most:
-            yield at, i
-            at, total = i, 0
-        total += n
-    if at < len(sizes):
-        yield at, len(sizes)

@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import load, slices
+from .common import lean, slices
+from .pieces import load
 
 #: Bytes of text that are encoded together; longer texts are cut at safe boundaries.
 BATCH_BYTES = 1 << 20
@@ -74,6 +75,6 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"]
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = lean(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(lengths, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 20
 #: Bounds of the fit: labelled rows that it sees (on average, drawn by a hash of the id), and features it keeps.
@@ -107,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n > max_rows:
         marks = marks.filter(F.expr(f"pmod(xxhash64(id, 5), 1000000) < {int(1e6 * max_rows / n)}"))
     marks = marks.select(F.col("id").alias("label_id"), "y")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
+    rows = lean(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
         .join(F.broadcast(marks), F.col("id") == F.col("label_id")).select("id", "y", "text")  # 2 * max_rows ids: under 1 MB
     size = 1 << BUCKET_BITS
 
@@ -183,7 +185,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py() or "") < 0.5 for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +202,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             scores = [own.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = lean(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, score double").select(
         F.col("id").alias(id_col), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")

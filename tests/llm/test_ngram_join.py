@@ -102,3 +102,48 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: root(i) for i in up if any(i in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def halves(x, y, depth):
+    """The suffix filter as published: a lower bound on how many elements of two sorted sets differ."""
+    if depth == 0 or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    probe = y[len(y) // 2]
+    i, j = np.searchsorted(x, probe), len(y) // 2
+    own = int(i < len(x) and x[i] == probe)
+    return halves(x[:i], y[:j], depth - 1) + halves(x[i + own:], y[j + 1:], depth - 1) + 1 - own
+
+
+def test_suffix_filter_bounds_and_prunes():
+    rng = np.random.default_rng(1)
+    ours = published = 0
+    for _ in range(400):
+        n = int(rng.integers(20, 300))
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 2**63, int(n * rng.random() * 0.6), dtype=np.uint64) * np.uint64(2)]))
+        shared, total = len(np.intersect1d(x, y)), len(x) + len(y)
+        bound = int(module.overlap_bound(*[np.frombuffer(module.profile(v), np.uint8).reshape(1, -1) for v in (x, y)])[0])
+        assert bound >= shared
+        need = -(-total * 75 // 175)
+        if shared < need <= min(len(x), len(y)):
+            ours += bound < need
+            published += (total - halves(x, y, 2)) // 2 < need
+    assert ours > published > 0
+
+
+def test_long_texts_and_a_large_family(spark, monkeypatch):
+    monkeypatch.setattr(module, "REMEMBERED", 3)
+    monkeypatch.setattr(module, "NAMED", 2)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    long = [word() for _ in range(21_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:10_000], *(word() for _ in range(300)), *long[10_000:]])), (3, " ".join(reversed(long)))]
+    passage = [word() for _ in range(60)]
+    for i in range(120):  # a shared passage, own words, and in a third of them a near copy of the one before
+        own = [word() for _ in range(50)]
+        if i % 3 == 2:
+            own = [*last[:20], word(), *last[21:]]
+        rows.append((10 + i, " ".join(passage + own)))
+        last = own
+    got = sorted(tuple(r) for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute(rows)
