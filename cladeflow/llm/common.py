@@ -37,6 +37,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(df: DataFrame) -> DataFrame:
+    """The same rows, once the driver was asked to collect garbage.
+
+    Shuffle files and old checkpoints stay on disk until no plan in the driver's memory refers to
+    them, which a large idle heap may put off to the end. Called after a table is settled, so that
+    what it was made from goes before more is written.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 1024) -> DataFrame:
     """Exclusive running sums of ``value`` by ``order`` (long, unique within ``keys``).
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, settle, slices
+from .common import free, lean, settle, slices
 from .components import connected_components
 
 WORDS = 5
@@ -22,7 +22,7 @@ SMALL_RUN = 8
 #: Centres that texts are verified against where many share their n-grams, before pairs are.
 CENTRES = 4
 #: Prefix n-grams of a partition, on average.
-PART_ROWS = 200_000
+PART_ROWS = 600_000
 #: Parts of the hash space in a set's profile.
 BINS = 128
 FILTER_BITS = 25
@@ -35,14 +35,11 @@ NAMED = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(texts: pa.Array, wanted=None):
-    """For each text its key and its sorted distinct n-grams; (None, none) without words.
+def _words(texts: pa.Array):
+    """Hashes of all texts' words, where each text's begin, and the key of each text that has any, by its place.
 
-    ``wanted``: whether n-grams are of interest, by key; other texts are left out.
-
-    A-Z is lowered and words are what stands between ASCII white space. With fewer words than an
-    n-gram has, the whole sequence is the one n-gram. Equal sequences of words have equal keys.
-    N-grams and keys are 64-bit hashes. All texts are worked on at once, as arrays.
+    A-Z is lowered and words are what stands between ASCII white space. Equal sequences of words
+    have equal keys. Hashes and keys have 64 bits. All texts are worked on at once, as arrays.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words, at = lists.flatten(), np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
@@ -53,27 +50,34 @@ def shingles(texts: pa.Array, wanted=None):
     coded = words.dictionary_encode()
     table = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
     h = table[np.asarray(coded.indices)]
-    n, lengths = len(h), np.diff(at)
+    lengths = np.diff(at)
+    nth = np.arange(len(h), dtype=np.int64) - np.repeat(at[:-1], lengths)
+    keyed = (h ^ (nth.astype(np.uint64) * _P)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    keyed ^= keyed >> np.uint64(31)
+    some = np.flatnonzero(lengths)
+    keys = np.add.reduceat(keyed * _P, at[some]) if len(some) else keyed
+    return h, at, dict(zip(some.tolist(), keys.view(np.int64).tolist(), strict=True))
+
+
+def shingles(texts: pa.Array):
+    """For each text its key and its sorted distinct n-grams, by 64-bit hashes; (None, none) without words.
+
+    With fewer words than an n-gram has, the whole sequence is the one n-gram.
+    """
+    h, at, place = _words(texts)
+    n = len(h)
     g = np.zeros(n, np.uint64)
     for k in range(WORDS):
         m = max(0, n - k)
         g[:m] = (g[:m] ^ h[k:k + m]) * _P
         g ^= g >> np.uint64(29)
-    nth = np.arange(n, dtype=np.int64) - np.repeat(at[:-1], lengths)
-    keyed = (h ^ (nth.astype(np.uint64) * _P)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    keyed ^= keyed >> np.uint64(31)
-    some = np.flatnonzero(lengths)
-    keys = np.add.reduceat(keyed * _P, at[some]) if len(some) else keyed
-    place = dict(zip(some.tolist(), keys.view(np.int64).tolist(), strict=True))
-    for i, (start, length) in enumerate(zip(at[:-1].tolist(), lengths.tolist(), strict=True)):
-        if not length:
+    for i, (start, end) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        if start == end:
             yield None, g[:0]
-        elif wanted is not None and not wanted(place[i]):
-            continue
-        elif length < WORDS:
-            yield place[i], np.array([place[i] ^ length], np.int64).view(np.uint64)
+        elif end - start < WORDS:
+            yield place[i], np.array([place[i] ^ (end - start)], np.int64).view(np.uint64)
         else:
-            own = np.sort(g[start:start + length - WORDS + 1])
+            own = np.sort(g[start:end - WORDS + 1])
             yield place[i], own[np.append(True, own[1:] != own[:-1])]
 
 
@@ -87,12 +91,15 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _texts(batch):
-    text = batch.column("text")
+def _slices(text):
     for a, b in slices(pc.binary_length(text).to_pylist(), BATCH_BYTES):
         yield a, b, text.slice(a, b - a)
 
 
+def _texts(batch):
+    yield from _slices(batch.column("text"))
+
+
 def profile(grams: np.ndarray) -> bytes:
     """How many n-grams fall into each of BINS parts of the hash space, up to 255: what the suffix filter needs of a set."""
     return np.minimum(np.bincount((grams >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
@@ -209,11 +216,11 @@ def _postings(rows: DataFrame, frequent) -> DataFrame:
                     _remember(met, key)
                     n = len(grams)
                     k = prefix_length(n)
-                    out.append(np.stack([order(grams)[:k].view(np.int64), np.full(k, key), (n << 32) + np.arange(k)]))
+                    out.append(np.stack([order(grams)[:k].view(np.int64), (n << 32) + np.arange(k), np.full(k, key)]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(out, axis=1))], ["gram", "key", "place"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(out, axis=1))], ["gram", "place", "key"])
 
-    return rows.mapInArrow(run, "gram long, key long, place long")
+    return rows.mapInArrow(run, "gram long, place long, key long")  # in this order rows of a text have equal bytes together
 
 
 def _pairs(i, j, key, n, at):
@@ -335,22 +342,11 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n1", "p1", "n2", "p2").mapInArrow(run, "a long, b long")
 
 
-def _packed(grams: np.ndarray) -> bytes:
-    """Sorted n-grams by the top 40 bits of their hashes: enough to tell the n-grams of two texts apart."""
-    return (grams >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpacked(data) -> np.ndarray:
-    whole = np.zeros((len(data) // 5, 8), np.uint8)
-    whole[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return whole.view("<u8").ravel()
-
-
-def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and sorted n-grams of the texts whose key is among ``keys``.
+def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and text of one text for each of ``keys``.
 
     A bit array of fixed size, a filter that lets some others pass, keeps most of the other
-    sets from being sent to the join that follows.
+    texts from being sent to the join that follows.
     """
     size = 1 << FILTER_BITS
 
@@ -366,41 +362,47 @@ def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
     given = rows.sparkSession.sparkContext.broadcast(marks.tobytes())
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(given.value, np.uint8))
+        bits = np.frombuffer(given.value, np.uint8)
         met = set()
         for batch in batches:
             for _, _, texts in _texts(batch):
                 out = []
-                for key, grams in shingles(texts, lambda key: bits[key & (size - 1)] and key not in met):
-                    if key is not None and key not in met:
+                for i, key in _words(texts)[2].items():
+                    low = key & (size - 1)
+                    if bits[low >> 3] >> (7 - (low & 7)) & 1 and key not in met:
                         _remember(met, key)
-                        out.append((key, _packed(grams)))
+                        out.append((i, key))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["key", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k for _, k in out], pa.int64()), texts.take(pa.array([i for i, _ in out]))], ["key", "text"])
 
-    made = rows.mapInArrow(run, "key long, grams binary")
+    made = rows.mapInArrow(run, "key long, text string")
     return made.join(keys.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose sets' similarity reaches PERCENT; each is verified once."""
+    """The pairs whose sets' similarity reaches PERCENT; each is verified once, from the two texts."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = _sets(rows, keys)  # both joins read the one exchange in which the sets are dealt by key
-    first = sets.select(F.col("key").alias("k1"), F.col("grams").alias("g1"))
-    second = sets.select(F.col("key").alias("k2"), F.col("grams").alias("g2"))
+    texts = _wanted(rows, keys)  # both joins read the one exchange in which texts are dealt by key
+    first = texts.select(F.col("key").alias("k1"), F.col("text").alias("t1"))
+    second = texts.select(F.col("key").alias("k2"), F.col("text").alias("t2"))
     both = pairs.join(first, F.col("a") == F.col("k1")).join(second, F.col("b") == F.col("k2"))
 
     def run(batches):
         for batch in batches:
-            g1, g2 = batch.column("g1"), batch.column("g2")
+            sets = {}
+            for keys, column in (("a", "t1"), ("b", "t2")):
+                new = {k: i for i, k in enumerate(batch.column(keys).to_pylist()) if k not in sets}
+                if new:
+                    some = batch.column(column).take(pa.array(new.values()))
+                    sets |= zip(new, (grams for _, _, part in _slices(some) for _, grams in shingles(part)), strict=True)
             ok = []
-            for x, y in zip(g1, g2, strict=True):
-                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
-                shared = len(np.intersect1d(x, y))
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = sets[x], sets[y]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
-    return settle(both.select("a", "b", "g1", "g2").mapInArrow(run, "a long, b long"))
+    return settle(both.select("a", "b", "t1", "t2").mapInArrow(run, "a long, b long"))
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,15 +421,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     give no rows; other columns are ignored.
     """
     rows = lean(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    survey = settle(_survey(rows))
+    survey = free(settle(_survey(rows)))
     light = survey.filter("gram is null").select("id", "key", "n")
     nodes = survey.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
     frequent = _frequent(survey)
     n_grams = light.agg(F.sum("n")).first()[0] or 0
     n_parts = max(1, int(n_grams * (1 - PERCENT / 100)) // PART_ROWS + 1)
-    first = settle(_postings(rows, frequent).repartition(n_parts, "gram").mapInArrow(_first_pairs, "a long, b long, gram long, key long, place long"))
+    first = free(settle(_postings(rows, frequent).repartition(n_parts, "gram").mapInArrow(_first_pairs, "a long, b long, gram long, key long, place long")))
     pairs = settle(_bounded(first.filter("a is not null").select("a", "b").distinct(), nodes))
-    links = _verified(pairs, rows)
+    links = free(_verified(pairs, rows))
     large = first.filter("gram is not null").select("gram", "key", "place")
     if large.limit(1).count():
         parts = connected_components(links)
@@ -442,7 +444,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         done = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
         cross = settle(cross.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
         if cross.limit(1).count():
-            links = links.unionByName(_verified(cross, rows))
+            links = links.unionByName(free(_verified(cross, rows)))
     parts = connected_components(links)
     least = light.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"))
     parted = least.join(parts, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("part"))
