@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,9 +44,14 @@ def free(df: DataFrame) -> DataFrame:
 
     Shuffle files and old checkpoints stay on disk until no plan in the driver's memory refers to
     them, which a large idle heap may put off to the end. Called after a table is settled, so that
-    what it was made from goes before more is written.
+    what it was made from goes before more is written. The scheduler remembers its last job until
+    the next one, and Python's references reach the JVM about once a second.
     """
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    spark.range(2).count()
+    gc.collect()
+    time.sleep(1.1)
+    spark.sparkContext._jvm.System.gc()
     return df
 
 
