@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, settle, words
+from .common import lean, prefix_sums, settle, words
 
 #: A group with over one part in HEAVY of all bytes, tokens or rows is placed by the driver: 3 * HEAVY groups at most.
 HEAVY = 20_000
@@ -91,8 +92,10 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
         F.expr(f"pmod(if(shard is null, xxhash64(key), xxhash64(id, 23)), {n_cells})").alias("cell"),
     )
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "key"], kind="stable").reset_index(drop=True)
+    def pack(table: pa.Table) -> pa.Table:
+        # ids stay Arrow columns: pandas would turn longs beside a null into doubles
+        table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("key", "ascending")]))
+        rows = table.drop_columns(["id"]).to_pandas()
         free = rows["shard"].isna()
         if free.any():
             groups = rows[free].groupby("key", sort=True).agg(size=("size", "sum"), tokens=("tokens", "sum"), rows=("size", "size"))
@@ -100,11 +103,11 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
             where = place(v, left * v.sum(axis=0))
             rows.loc[free, "shard"] = rows.loc[free, "key"].map(dict(zip(groups.index, where, strict=True)))
         rows["shard"] = rows["shard"].astype("int32")
-        rows["nth"] = rows.groupby("shard").cumcount()
-        return rows[["id", "size", "tokens", "crc", "shard", "cell", "nth"]]
+        made = {"shard": rows["shard"], "nth": rows.groupby("shard").cumcount().astype("int64")}
+        return pa.table({c: pa.array(made[c].to_numpy()) if c in made else table.column(c) for c in ("id", "size", "tokens", "crc", "shard", "cell", "nth")})
 
     kind = light.schema["id"].dataType.simpleString()
-    packed = settle(spread.groupBy("cell").applyInPandas(
+    packed = settle(lean(spread).groupBy("cell").applyInArrow(
         pack, f"id {kind}, size long, tokens long, crc long, shard int, cell long, nth long"
     ))
     held = packed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))

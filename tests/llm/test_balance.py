@@ -98,3 +98,10 @@ def test_mix(spark, n):
     again = {(str(r.doc_id), r["size"], str(r.source), r.taken) for r in mix_sources(df.repartition(5)).collect()}
     assert again == {(str(r.doc_id), r["size"], str(r.source), r.taken) for r in got}
     assert mix_sources(df.limit(0)).count() == 0
+
+
+def test_large_ids_beside_a_null_id(spark):
+    ids = [None, *(2**60 + i for i in range(1, 12, 2))]
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    got = [r.doc_id for r in shard_documents(df, 2).collect()]
+    assert sorted(got, key=str) == sorted(ids, key=str)
