@@ -461,13 +461,13 @@ def collapse_nested(spark, d):
 
 
 _GROUPS = """h AS (SELECT 'N' || s_nationkey AS grp, 'S' || s_suppkey AS member FROM supplier), t AS (SELECT grp, count(*) AS total FROM h GROUP BY 1),
-  x AS (SELECT DISTINCT sample, subject FROM a WHERE CAST(query AS BIGINT) % 40 = 0),
+  x AS (SELECT DISTINCT sample, subject FROM a),
   c AS (SELECT grp, sample, count(*) AS covered FROM x JOIN h ON subject = member GROUP BY 1, 2),
   f AS (SELECT g.grp AS feature, s.sample, coalesce(covered, 0) AS covered, total FROM (SELECT DISTINCT grp FROM c) g CROSS JOIN (SELECT DISTINCT sample FROM x) s LEFT JOIN c ON c.grp = g.grp AND c.sample = s.sample JOIN t ON t.grp = g.grp)"""
 
 
 def _coverage(spark, d, **options) -> DataFrame:
-    p = alignments(spark, d).filter("cast(query as bigint) % 40 = 0").select("sample", F.col("subject").alias("feature"), F.lit(1.0).alias("value")).distinct()
+    p = alignments(spark, d).select("sample", F.col("subject").alias("feature"), F.lit(1.0).alias("value")).distinct()
     groups = table(spark, d, "supplier", "s_suppkey", "s_nationkey").select(F.concat(F.lit("N"), F.col("s_nationkey")).alias("grp"), F.concat(F.lit("S"), F.col("s_suppkey")).alias("member"))
     return P.group_coverage(p, groups, **options)
 

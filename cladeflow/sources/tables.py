@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import read_lines
@@ -22,6 +22,14 @@ class Table:
     digits: int
 
 
+def decimals(text: Column) -> Column:
+    """Decimals of a number's plain form: 0 without a point; at least 1 with one, however large or small it is."""
+    shown = text.cast("double").cast("string")  # from 1e7 on, and below 1e-3, as in 1.25E-4
+    digits, power = (F.regexp_extract(shown, r"\.(\d+)(?:E(-?\d+))?$", i) for i in (1, 2))
+    moved = F.greatest(F.length(F.rtrim(digits, F.lit("0"))) - F.when(power != "", power).cast("int"), F.lit(1))
+    return F.when(F.contains(text, F.lit(".")), F.when(power == "", F.length(digits)).otherwise(moved)).otherwise(0)
+
+
 def split_header(header: list[str]) -> tuple[list[str], list[str]]:
     """Samples and metadata columns, which stand last and in the order Name, Rank, Lineage."""
     left, found = list(header), []
@@ -49,7 +57,7 @@ def read_table(spark: SparkSession, path: str) -> Table:
     names = F.array(*[F.lit(s) for s in samples])
     cells = rows.select("feature", F.posexplode(F.slice("f", 2, len(samples))).alias("i", "text"))
     profile = cells.select("feature", F.get(names, F.col("i")).alias("sample"), F.col("text").cast("double").alias("value"))
-    deep = cells.agg(F.max(F.when(F.contains("text", F.lit(".")), F.length(F.substring_index(F.col("text").cast("double").cast("string"), ".", -1))).otherwise(0))).first()[0]
+    deep = cells.agg(F.max(decimals(F.col("text")))).first()[0]
     metadata = rows.select("feature", *[F.coalesce(F.get("f", 1 + len(samples) + i), F.lit("")).alias(c) for i, c in enumerate(meta)])
     return Table(profile, samples, metadata, deep or 0)
 

@@ -3,6 +3,7 @@ import gzip
 import lzma
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladeflow.cli import main
 from cladeflow.sources import alignments as A
@@ -213,3 +214,11 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_decimals_of_plain_forms(spark):
+    from cladeflow.sources.tables import decimals
+
+    want = {"12345678.5": 1, "0.00012345": 8, "10000000.0": 1, "0.00001": 5, "1.25": 2, "3": 0, "3.0": 1, "0.001": 3}
+    got = spark.createDataFrame([(x,) for x in want], "x string").select("x", decimals(F.col("x")).alias("n"))
+    assert {r.x: r.n for r in got.collect()} == want
