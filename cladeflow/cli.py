@@ -20,6 +20,18 @@ from .sources.mappings import gene_lengths, read_genes, read_groups, read_many_m
 from .sources.tables import Table, describe, name_as_id, read_table
 
 
+def _at_least_one(text: str) -> int:
+    if int(text) < 1:
+        raise argparse.ArgumentTypeError("1 or more is asked for")
+    return int(text)
+
+
+def _hundredths(text: str) -> float:
+    if not 1 <= float(text) <= 100:
+        raise argparse.ArgumentTypeError("1 to 100 is asked for")
+    return float(text)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cladeflow", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -33,9 +45,12 @@ def parser() -> argparse.ArgumentParser:
 
     c = command("classify", _classify)
     c.add_argument("-f", "--format", choices=["sam", "b6o", "paf", "map"])
-    for flag in ("-e/--filext", "-s/--samples", "-x/--exclude", "--trim-sub", "--nodes", "--newick", "--lineage", "--columns", "-r/--rank", "-c/--coords",
+    for flag in ("-e/--filext", "-s/--samples", "-x/--exclude", "-r/--rank", "-c/--coords",
                  "-t/--stratify", "-z/--sizes", "--scale", "-u/--outmap", "--outcov"):
         c.add_argument(*flag.split("/"))
+    for flag in ("--nodes", "--newick", "--lineage", "--columns"):
+        c.add_argument(flag, action="append", default=[])
+    c.add_argument("--trim-sub", nargs="?", const="_")
     c.add_argument("-m", "--map", action="append", default=[])
     c.add_argument("-n", "--names", action="append", default=[])
     for yes, no in (("--demux", "--no-demux"), ("--map-as-rank", "--map-no-rank"), ("--to-parquet", "--to-tsv")):
@@ -46,7 +61,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--major", type=int, choices=range(51, 100), metavar="51-99")
     c.add_argument("--overlap", type=int, default=80, choices=range(1, 101), metavar="1-100")
     c.add_argument("--digits", type=int, choices=range(11), metavar="0-10")
-    c.add_argument("--zipmap", default="gzip", choices=["none", "gzip", "bzip2", "deflate"])
+    c.add_argument("--zipmap", default="gzip", choices=["none", "gzip", "gz", "bzip2", "bz2", "deflate"])
+    for flag in ("--chunk", "--cache"):  # of no meaning here
+        c.add_argument(flag, type=int)
+    c.add_argument("--no-exe", action="store_true")
     c.add_argument("--cov-fmt", default="bed")
 
     p = command("collapse", _collapse)
@@ -60,13 +78,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--scale")
     p.add_argument("-d", "--digits", type=int, choices=range(11), metavar="0-10")
     p = command("filter", _filter)
-    p.add_argument("-c", "--min-count", type=int)
+    p.add_argument("-c", "--min-count", type=_at_least_one)
     p.add_argument("-p", "--min-percent", type=float)
     command("merge", _merge, several=True)
     p = command("coverage", _coverage)
     p.add_argument("-m", "--map", required=True)
     p.add_argument("-n", "--names")
-    p.add_argument("-t", "--threshold", type=float)
+    p.add_argument("-t", "--threshold", type=_hundredths)
     p.add_argument("-c", "--count", action="store_true")
     return top
 
@@ -139,7 +157,7 @@ def _classify(spark, a) -> None:
     if a.outmap:
         for rank in ranks:
             folder = a.outmap if len(ranks) == 1 else f"{a.outmap}/{rank}"
-            sinks.write_read_map(read_map(assign(hits, rank, tree, a.uniq, a.major, a.above, a.subok), names), folder, a.zipmap)
+            sinks.write_read_map(read_map(assign(hits, rank, tree, a.uniq, a.major, a.above, a.subok), names), folder, {"gz": "gzip", "bz2": "bzip2"}.get(a.zipmap, a.zipmap))
     hits.unpersist()
 
 

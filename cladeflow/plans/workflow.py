@@ -27,11 +27,13 @@ class Hierarchy:
     names: DataFrame | None = None
 
 
-def build_hierarchy(spark: SparkSession, nodes: str | None = None, newick: str | None = None, lineage: str | None = None, columns: str | None = None,
+def build_hierarchy(spark: SparkSession, nodes: str | list[str] | None = None, newick: str | list[str] | None = None,
+                    lineage: str | list[str] | None = None, columns: str | list[str] | None = None,
                     maps: list[str] = (), map_as_rank: bool | None = None, names: list[str] = ()) -> Hierarchy | None:
     """Nodes of all the given files together, with a root. Maps lend their targets the rank that
     their file's name stands for, by default if nothing but maps is given."""
-    found = [read(spark, path) for read, path in ((read_nodes, nodes), (read_newick, newick), (read_lineages, lineage), (read_columns, columns)) if path]
+    several = lambda x: [x] if isinstance(x, str) else x or []
+    found = [read(spark, path) for read, paths in ((read_nodes, nodes), (read_newick, newick), (read_lineages, lineage), (read_columns, columns)) for path in several(paths)]
     if map_as_rank is None:
         map_as_rank = not found
     for path in maps:

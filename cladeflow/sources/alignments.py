@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +14,32 @@ FORMATS = ("sam", "b6o", "paf", "map")
 EXTENDED = ["query", "subject", "score", "length", "beg", "end"]
 
 
+#: Fixed values of the formats: fewest columns, which of them (from 0) hold digits, and which a strand.
+LAYOUTS = {
+    "b6o": (12, (3, 4, 5, 6, 7, 8, 9), ()),
+    "paf": (12, (1, 2, 3, 6, 7, 8, 9, 10, 11), (4,)),
+    "sam": (11, (1, 3, 4), ()),
+}
+
+
+def _shape(least: int, digits: tuple[int, ...], strands: tuple[int, ...]) -> re.Pattern:
+    cells = ["[0-9]+" if i in digits else "[+-]" if i in strands else r"[^\t]*" for i in range(least)]
+    return re.compile(r"\t".join(cells) + r"(?:\t.*)?")
+
+
+#: Shapes of a first line, in the order of trial: a SAM header, a plain map, rows of the layouts.
+SHAPES = [("sam", re.compile(r"@[A-Z]{2}(?:\t.*)?")), ("map", re.compile(r"[^\t]*\t[^\t]*")), *((kind, _shape(*x)) for kind, x in LAYOUTS.items())]
+
+
 def infer_format(line: str | None) -> str:
     """Format of a file by its first line."""
-    if not line or not line.strip():
-        raise ValueError("Alignment file is empty or unreadable.")
-    row = line.rstrip().split("\t")
-    digits = lambda places: all(row[i].isdigit() for i in places)
-    if row[0][:1] == "@" and row[0][1:3].isupper() and len(row[0]) == 3:
-        return "sam"
-    if len(row) == 2:
-        return "map"
-    if len(row) >= 12 and digits(range(3, 10)):
-        return "b6o"
-    if len(row) >= 12 and row[4] in "+-" and digits((1, 2, 3, 6, 7, 8, 9, 10, 11)):
-        return "paf"
-    if len(row) >= 11 and digits((1, 3, 4)):
-        return "sam"
-    raise ValueError("Cannot determine alignment file format.")
+    text = (line or "").rstrip()
+    if not text:
+        raise ValueError("There is no first line to tell the alignment format by.")
+    for kind, shape in SHAPES:
+        if shape.fullmatch(text):
+            return kind
+    raise ValueError(f"No alignment format has such a first line: {text[:80]!r}.")
 
 
 def parse(lines: DataFrame, kind: str, extended: bool = False) -> DataFrame:

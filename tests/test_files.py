@@ -222,3 +222,14 @@ def test_decimals_of_plain_forms(spark):
     want = {"12345678.5": 1, "0.00012345": 8, "10000000.0": 1, "0.00001": 5, "1.25": 2, "3": 0, "3.0": 1, "0.001": 3}
     got = spark.createDataFrame([(x,) for x in want], "x string").select("x", decimals(F.col("x")).alias("n"))
     assert {r.x: r.n for r in got.collect()} == want
+
+
+def test_options_that_repeat_or_have_a_default():
+    from cladeflow.cli import parser
+
+    got = parser().parse_args("classify -i x -o y --nodes a --nodes b --trim-sub --chunk 5 --no-exe --zipmap gz".split())
+    assert got.nodes == ["a", "b"] and got.trim_sub == "_" and got.zipmap == "gz" and got.columns == []
+    assert parser().parse_args("classify -i x -o y --trim-sub .".split()).trim_sub == "."
+    for wrong in ("coverage -i x -o y -m z -t 101", "filter -i x -o y -c 0"):
+        with pytest.raises(SystemExit):
+            parser().parse_args(wrong.split())
