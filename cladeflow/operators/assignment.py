@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import attached, dealt
 from .tree import common_prefix
 
 QUERY = ("sample", "query")
@@ -17,13 +18,18 @@ QUERY = ("sample", "query")
 
 def distinct_hits(hits: DataFrame) -> DataFrame:
     """Hits dealt by query, repeats dropped; what follows by query needs no further exchange."""
-    return hits.select(*QUERY, "subject").repartition(*QUERY).dropDuplicates([*QUERY, "subject"])
+    return dealt(hits.select(*QUERY, "subject"), *QUERY).dropDuplicates([*QUERY, "subject"])
+
+
+def _sorted(rows: DataFrame, keys) -> DataFrame:
+    """Rows in the order of all windows by query that follow, which then sort them no more."""
+    return rows.sortWithinPartitions(*keys, "subject")
 
 
 def assign_none(hits: DataFrame, uniq: bool = False) -> DataFrame:
     """Subjects themselves. With ``uniq`` queries of several subjects have no taxon."""
     k = F.count(F.lit(1)).over(Window.partitionBy(*QUERY))
-    rows = hits.withColumn("k", k)
+    rows = _sorted(hits, QUERY).withColumn("k", k)
     if uniq:
         return rows.select(*QUERY, "subject", F.when(F.col("k") == 1, F.col("subject")).alias("taxon"), F.lit(True).alias("unique"))
     return rows.select(*QUERY, "subject", F.col("subject").alias("taxon"), (F.col("k") == 1).alias("unique"))
@@ -35,9 +41,9 @@ def assign_free(hits: DataFrame, lined: DataFrame, subok: bool = False) -> DataF
     A lone subject goes to its parent, even if that is the root (with ``subok``: stays itself).
     Any subject that is no node leaves the query without a taxon.
     """
-    known = lined.select(F.col("id").alias("subject"), "parent", "lineage")
     over = Window.partitionBy(*QUERY)
-    rows = hits.join(known, "subject", "left").select(
+    rows = attached(hits, lined, [F.col("id").alias("subject"), "parent", "lineage"], ["subject"], *QUERY)
+    rows = _sorted(rows, QUERY).select(
         *QUERY, "subject", "parent", F.count(F.lit(1)).over(over).alias("k"), F.count("lineage").over(over).alias("known"),
         F.min("lineage").over(over).alias("lo"), F.max("lineage").over(over).alias("hi"))
     shared = common_prefix(F.col("lo"), F.col("hi"))
@@ -55,12 +61,10 @@ def assign_rank(hits: DataFrame, lookup: DataFrame, major: int | None = None, ab
     leaves the query without a taxon; and otherwise it is shared by the taxa.
     """
     keys = [*by, *QUERY]
-    if by:
-        rows = hits.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in ranks]))).join(lookup, ["subject", *by], "left")
-    else:
-        rows = hits.join(lookup.select("subject", "taxon"), "subject", "left")
+    rows = hits.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in ranks]))) if by else hits
+    rows = attached(rows, lookup, ["subject", *by, "taxon"], ["subject", *by], *QUERY)
     over = Window.partitionBy(*keys)
-    rows = rows.select(
+    rows = _sorted(rows, keys).select(
         *keys, "subject", "taxon", F.count(F.lit(1)).over(over).alias("k"), F.count("taxon").over(over).alias("named"),
         F.min("taxon").over(over).alias("lo"), F.max("taxon").over(over).alias("hi"))
     same = (F.col("named") == 0) | ((F.col("named") == F.col("k")) & (F.col("lo") == F.col("hi")))

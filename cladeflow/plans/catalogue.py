@@ -17,6 +17,7 @@ from ..operators.assignment import distinct_hits
 from ..operators.counting import read_map
 from ..operators.intervals import cover_ranges, match_genes, with_offsets
 from ..operators.tree import fill_root, lca, lineage_strings, lineages, rank_lookup
+from ..session import joined_large
 from ..sources.tables import describe, name_as_id
 from .workflow import Hierarchy, assign, classify, make_hits
 
@@ -41,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def _lines(spark, d, *columns):
     orders = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
     lines = table(spark, d, "lineitem", "l_orderkey", *columns)
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumnsRenamed({"o_orderpriority": "sample"}).withColumn("query", F.col("l_orderkey").cast("string"))
+    return joined_large(lines, orders, "l_orderkey", "o_orderkey").withColumnsRenamed({"o_orderpriority": "sample"}).withColumn("query", F.col("l_orderkey").cast("string"))
 
 
 def alignments(spark, d) -> DataFrame:

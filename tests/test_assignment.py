@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cladeflow import session
+from cladeflow.operators.assignment import assign_free, assign_rank, distinct_hits
 from cladeflow.operators.counting import count_taxa, read_map
-from cladeflow.operators.tree import fill_root, lineages
+from cladeflow.operators.tree import fill_root, lineages, rank_lookup
 from cladeflow.plans.workflow import Hierarchy, assign, classify
 
 TREE = [("G1", "T1", None), ("G2", "T1", None), ("G3", "T2", None), ("T1", "T0", "general"), ("T2", "T0", "general")]
@@ -81,3 +83,22 @@ def test_values_sum_to_queries(spark, tree):
     assert all(x == pytest.approx(len(QUERIES), abs=1e-5) for x in sums.values()) and len(sums) == 3
     with pytest.raises(ValueError, match="not found"):
         classify(h, tree, ["species"])
+
+
+def test_tasks_grow_with_the_input(spark, tree, tmp_path, monkeypatch):
+    """What a task holds stays the same: rows are dealt by the size of their files, also after a join with a table that isn't small."""
+    rows = spark.range(4000).selectExpr("'S' sample", "string(id div 4) query", "concat('G', 1 + id % 4) subject")
+    rows.write.parquet(f"{tmp_path}/hits")
+    found = spark.read.parquet(f"{tmp_path}/hits")
+    n = -(-session.input_bytes(found) // 500)
+    monkeypatch.setattr(session, "TASK_BYTES", 500)
+    dealt = distinct_hits(found)
+    assert dealt.rdd.getNumPartitions() == n > 4
+    for most in (0, 100):
+        free = assign_free(dealt, session.small_side(tree.lined, most))
+        assert free.rdd.getNumPartitions() >= n
+        ranked = assign_rank(dealt, session.small_side(rank_lookup(tree.lined, ["general"]), most))
+        assert ranked.rdd.getNumPartitions() >= n
+        got = {(r.feature, round(r.value, 6)) for r in count_taxa(ranked).collect()}
+        assert got == {("T0", 1000)}  # G4 is no node
+        assert {(r.taxon, r.n) for r in free.groupBy("taxon").agg(F.count("*").alias("n")).collect()} == {(None, 4000)}
