@@ -100,5 +100,5 @@ def test_tasks_grow_with_the_input(spark, tree, tmp_path, monkeypatch):
         ranked = assign_rank(dealt, session.small_side(rank_lookup(tree.lined, ["general"]), most))
         assert ranked.rdd.getNumPartitions() >= n
         got = {(r.feature, round(r.value, 6)) for r in count_taxa(ranked).collect()}
-        assert got == {("T0", 1000)}  # G4 is no node
+        assert got == {("T1", round(2000 / 3, 6)), ("T2", round(1000 / 3, 6))}  # the nearest of the rank; G4 is no node
         assert {(r.taxon, r.n) for r in free.groupBy("taxon").agg(F.count("*").alias("n")).collect()} == {(None, 4000)}
