@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cladeflow.operators.intervals import cover_ranges, match_genes, with_offsets
+from cladeflow.operators.intervals import count_genes, cover_ranges, match_genes, with_offsets
 
 GENES = [("n1", "g1", 4, 29), ("n1", "g2", 32, 61), ("n1", "g3", 64, 94)]
 READS = [(10, 29), (16, 35), (20, 39), (22, 41), (30, 49), (49, 30), (79, 60), (84, 65), (95, 82)]
@@ -46,3 +46,26 @@ def test_offsets(spark, kind, want):
 def test_bad_offsets(spark):
     with pytest.raises(ValueError):
         with_offsets(spark.range(1).selectExpr("0 beg", "1 end"), "xyz")
+
+
+def test_repeated_pairs(spark):
+    """Several reads of a query on a contig and genes at several places give a pair once; other pairs aren't dealt out after the join."""
+    rng = random.Random(5)
+    genes = [(f"n{rng.randrange(3)}", f"g{rng.randrange(25)}", b := rng.randrange(900), b + rng.randrange(1, 300)) for i in range(40)]
+    rows = [(rng.choice("AB"), f"r{rng.randrange(90)}", f"n{rng.randrange(3)}", 20, b := rng.randrange(900), b + 20) for i in range(300)]
+    want = {(s, q, g) for s, q, c, n, b, e in rows for d, g, gb, ge in genes if c == d and min(e, ge) - max(b, gb) >= 16}
+    reads_ = spark.createDataFrame(rows, "sample string, query string, subject string, length long, beg long, end long")
+    genes_ = spark.createDataFrame(genes, "contig string, gene string, beg long, end long")
+    got = [tuple(r) for r in match_genes(reads_, genes_, 0.8, width=64).collect()]
+    assert sorted(got) == sorted(want)
+    shares = {}
+    for s, q, g in want:
+        shares[s, g] = shares.get((s, g), 0) + 1 / sum((s, q) == x[:2] for x in want)
+    assert {(r.sample, r.feature): round(r.value, 9) for r in count_genes(reads_, genes_).collect()} == {k: round(v, 9) for k, v in shares.items()}
+    # five reads of their own, each in 400 genes: the pairs are more than all rows that exchanges see
+    few = spark.createDataFrame([("A", f"q{i}", "n1", 20, 100, 120) for i in range(5)], reads_.schema)
+    deep = spark.createDataFrame([("n1", f"d{i}", 50, 200) for i in range(400)], genes_.schema)
+    found = match_genes(few, deep)
+    assert found.count() == 2000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.startswith("Union")
